@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import neardup
+from lakesieve.llm import history, neardup
 from lakesieve.session import table
 
 
@@ -22,8 +22,13 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.link_counts(table(spark, d, "score_results"), "request_id", "normalized", 0.85, 8).withColumnRenamed("id", "request_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Results that repeat something their tenant had accepted before."""
+    return history.replay(table(spark, d, "score_results"), table(spark, d, "spam_opts"), 0.85, 0.5, 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found}
 
 
 def oracle_sql() -> dict[str, str]:
