@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakesieve.plans import redelivery
+
+_PARTS = (redelivery,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["line_dedupe_exact"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: plan for part in _PARTS for name, plan in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
