@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import history, neardup
+from lakesieve.llm import history, lookalike, neardup, personal
 from lakesieve.session import table
 
 
@@ -27,8 +27,31 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return history.replay(table(spark, d, "score_results"), table(spark, d, "spam_opts"), 0.85, 0.5, 8)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of requests that look the same and are stored differently."""
+    return lookalike.same_look_pairs(table(spark, d, "score_requests"))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The one form, case folded, of every text and field value: (request_id, place, form)."""
+    requests = table(spark, d, "score_requests")
+    texts = requests.where("text is not null").select("request_id", F.lit("text").alias("place"), F.col("text").alias("value"))
+    fields = requests.where("fields is not null").select("request_id", F.explode("fields").alias("place", "value"))
+    return texts.unionByName(fields).select("request_id", "place", lookalike.plain(F.col("value")).alias("form"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Places with personal information, by kind."""
+    return personal.found_places(table(spark, d, "score_requests"), table(spark, d, "score_results"), table(spark, d, "person_names"))
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Field values and normalized texts with placeholders for personal information."""
+    return personal.masked(table(spark, d, "score_requests"), table(spark, d, "score_results"), table(spark, d, "person_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked}
 
 
 def oracle_sql() -> dict[str, str]:
