@@ -200,7 +200,7 @@ class Labelers:
             inner = re.sub(r"[^a-z ]", "", m.group(1) or "x y").split()
             kinds_only = which == 1 and len([w for w in inner if len(w) > 2 and w not in _KINDS_OF_STREET]) == 0
             filler = kinds_only or bool({"the", "a", "of", "and", "our", "on", "in", "for", "with"} & set(words))
-            votes = _vote(which == 1, filler) + _vote(which > 1) + _vote(bool(cue)) + _vote(key) + _vote(rich)
+            votes = _vote(which == 1 and not filler, filler) + _vote(which > 1) + _vote(bool(cue)) + _vote(key) + _vote(rich)
             found.append(("address", f"address|{votes}|{which}{cue}{'f' * filler}", m.start(), m.end()))
             taken.append((m.start(), m.end()))
 
@@ -258,7 +258,7 @@ class Labelers:
             case = clean[a:b] != s[a:b]
             upper = place == "normalized" or all(w[:1].isupper() for w in clean[a:b].split())
             shaped = len(parts) > 1 and not stop and not all(common) and upper
-            votes = _vote(shaped) + _vote(pair) + _vote(False, stop) + _vote(sure, bool(known) and all(c for c in common) and len(parts) == 1) + _vote((slot or title) and not stop) + _vote(field and not stop) + _vote(place != "normalized" and case and any(known), not any(known) and not slot and not field)
+            votes = _vote(shaped) + _vote(pair) + _vote(False, stop) + _vote(sure, all(common) and not pair) + _vote((slot or title) and not stop) + _vote(field and not stop) + _vote(place != "normalized" and case and any(known), not any(known) and not slot and not field)
             found.append(("name", f"name|{votes}|{min(len(words), 3)}{'k' * all(known)}{'s' * stop}{'c' * all(common)}", a, b))
             covered.append((a, b))
 
@@ -319,23 +319,24 @@ def ordinary_names(requests: DataFrame, names: list[tuple[str, str]]) -> set[str
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, prior: float = 0.7, rounds: int = 60) -> np.ndarray:
     """Probability of yes for every vote pattern. votes: [patterns, labelers] of 1, 0, -1; counts: [patterns].
 
-    Each labeler has its own chances of voting yes, no or abstaining for true and for false spans. The start is
+    Each labeler has its own chances of voting yes or no on true and on false spans; abstaining says nothing. The start is
     the balance of the votes, weighted by the counts; each round re-estimates the chances (with a small prior
     that keeps a yes more likely for true spans) and the probabilities.
     """
     balance = (votes == 1).sum(1) - 2.0 * (votes == -1).sum(1)
     p = np.clip(prior + 0.28 * np.sign(balance) * np.minimum(1, np.abs(balance) / 2) - 0.4 * (balance < 0), 0.02, 0.98)
-    steps = (1, 0, -1)
+    steps = (1, -1)
     for _ in range(rounds):
-        share = float((counts * p).sum() / counts.sum())
-        score = np.full(len(p), np.log(np.clip(share, 0.02, 0.98) / (1 - np.clip(share, 0.02, 0.98))))
+        score = np.zeros(len(p))  # true and false spans are equally likely before the votes
         for j in range(votes.shape[1]):
-            for step, base_yes, base_no in zip(steps, (0.50, 0.48, 0.02), (0.10, 0.50, 0.40), strict=True):
+            voted = votes[:, j] != 0
+            for step, base_yes, base_no in zip(steps, (0.95, 0.05), (0.2, 0.8), strict=True):
                 here = votes[:, j] == step
                 size = 0.05 * counts.sum()
-                yes = ((counts * p)[here].sum() + base_yes * size) / ((counts * p).sum() + size)
-                no = ((counts * (1 - p))[here].sum() + base_no * size) / ((counts * (1 - p)).sum() + size)
-                score[here] += np.log(yes / no)
+                yes = ((counts * p)[here].sum() + base_yes * size) / ((counts * p)[voted].sum() + size)
+                no = ((counts * (1 - p))[here].sum() + base_no * size) / ((counts * (1 - p))[voted].sum() + size)
+                ratio = np.log(yes / no)
+                score[here] += max(ratio, 0.3) if step > 0 else min(ratio, -1.5)  # a yes never counts against, a no never for
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         if np.abs(new - p).max() < 1e-5:
             p = new
