@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import history, lookalike, neardup, personal
+from lakesieve.llm import history, lookalike, neardup, packing, personal, tokens
 from lakesieve.session import table
 
 
@@ -50,9 +50,32 @@ def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(table(spark, d, "score_requests"), table(spark, d, "score_results"), table(spark, d, "person_names"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document's text by byte_bpe_50k."""
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether decoding a document's ids gives its text back, byte for byte: (doc_id, same)."""
+    docs = table(spark, d, "documents")
+    back = tokens.decoded(tokens.encoded(docs)).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").select("doc_id", (F.col("back") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of every capacity of pack_specs, filled with all documents."""
+    sizes = tokens.token_counts(table(spark, d, "documents")).withColumnRenamed("doc_id", "item_id")
+    return packing.containers(sizes, table(spark, d, "pack_specs")).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the containers is used, by capacity."""
+    return packing.usage(p7_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_roundtrip": "SELECT doc_id, true AS same FROM documents"}
