@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.llm import history, lookalike, neardup, packing, personal, tokens
+from lakesieve.llm import cutoff, history, lookalike, neardup, packing, personal, tokens
 from lakesieve.session import table
 
 
@@ -73,8 +73,18 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(p7_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return cutoff.cut_documents(table(spark, d, "documents"))
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return cutoff.cut_shares(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
