@@ -86,8 +86,9 @@ def sniff_scores(path: Column, content: Column) -> dict[str, Column]:
     for mode, weight, pattern in SIGNALS:
         scores[mode] = scores[mode] + _points(~blank & sample.rlike(pattern), weight)
     lines = F.slice(F.split(sample, "\n"), 1, 40)
+    cells = lambda d: lambda x: (F.regexp_replace(x, f"{S}+", "") != "") & (F.size(F.split(x, d)) >= 3)
     for delimiter in (",", "\t"):
-        rows = F.size(F.filter(lines, lambda x, d=delimiter: (F.regexp_replace(x, f"{S}+", "") != "") & (F.size(F.split(x, d)) >= 3)))
+        rows = F.size(F.filter(lines, cells(delimiter)))
         scores["csv"] = scores["csv"] + _points(~blank & (rows >= 2) & (rows >= F.size(lines) * 0.4), 10)
     t = F.regexp_replace(F.regexp_replace(sample, f"^{S}+", ""), f"{S}+\\z", "")
     closed = (t.startswith("[") & t.endswith("]")) | (t.startswith("{") & t.endswith("}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,8 +30,13 @@ BLOCK, SOFT = 0.72, 0.42
 URL = "(?i)https?://[^" + WS + "<>\"']+"
 
 
-def _words(*names: str) -> Column:
-    return F.array(*map(F.lit, names))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside of a lambda is computed for each element, and one used twice may be computed
+    twice; bound as the variable of an array of one it is not.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
 def form_fields(c: Column) -> Column:
@@ -53,8 +60,12 @@ def form_fields(c: Column) -> Column:
     as_json = F.from_json(t, "map<string,string>")
     members = F.transform(F.map_entries(as_json), lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")))
     fields = F.when(t.startswith("{") & as_json.isNotNull(), members).otherwise(pairs)
-    keys = F.array_distinct(F.transform(fields, lambda f: f["k"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(fields, lambda f: f["k"] == k), -1)["v"].alias("v")))
+
+    def last_wins(f: Column) -> Column:
+        keys = F.array_distinct(F.transform(f, lambda x: x["k"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(f, lambda x: x["k"] == k), -1)["v"].alias("v")))
+
+    return let(fields, last_wins)
 
 
 def fields_of_map(m: Column) -> Column:
@@ -102,10 +113,13 @@ def bait(c: Column) -> Column:
 
 def gibberish(c: Column) -> Column:
     """Long and almost without vowels, or a character six times in a row."""
-    s = F.regexp_replace(c, f"[{WS}]+", "")
-    letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    vowels = F.length(F.regexp_replace(s, "[^aeiouAEIOU]", ""))
-    return (F.length(s) >= 16) & (letters >= 12) & ((vowels / letters < 0.12) | s.rlike("(.)\\1{5,}"))
+
+    def test(s: Column) -> Column:
+        letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
+        vowels = F.length(F.regexp_replace(s, "[^aeiouAEIOU]", ""))
+        return (F.length(s) >= 16) & (letters >= 12) & ((vowels / letters < 0.12) | s.rlike("(.)\\1{5,}"))
+
+    return let(F.regexp_replace(c, f"[{WS}]+", ""), test)
 
 
 def mixed_script(c: Column) -> Column:
@@ -121,23 +135,28 @@ def all_caps(c: Column) -> Column:
 
 def repeated_tokens(normalized: Column) -> Column:
     """Six tokens or more, one of them more than 45 % of all."""
-    tokens = F.filter(F.split(normalized, " "), lambda x: x != "")
-    most = F.array_max(F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
-    return (F.size(tokens) >= 6) & (most / F.size(tokens) > 0.45)
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def count(state: Column, token: Column) -> Column:
+        run = F.when(state["last"] == token, state["run"] + 1).otherwise(1)
+        return F.struct(token.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    def test(tokens: Column) -> Column:
+        return (F.size(tokens) >= 6) & (F.aggregate(tokens, start, count, lambda x: x["most"]) / F.size(tokens) > 0.45)
+
+    return let(F.array_sort(F.filter(F.split(normalized, " "), lambda x: x != "")), test)
 
 
 def blocklisted(c: Column, phrases: Column) -> Column:
     """Whether the text contains a phrase, in any case."""
-    low = F.lower(c)
     clean = F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: p.isNotNull() & (js_trim(p) != ""))
-    return F.exists(clean, lambda p: F.contains(low, F.lower(js_trim(p))))
+    return let(F.lower(c), lambda low: F.exists(clean, lambda p: F.contains(low, F.lower(js_trim(p)))))
 
 
 def url_flood(c: Column, max_urls: Column) -> Column:
     """R2: more URLs than allowed, or more than one for every two lines."""
-    n = F.size(urls(c))
     lines = F.size(F.filter(F.split(eol(c), "\n"), lambda x: js_trim(x) != ""))
-    return (n >= max_urls + 1) | ((n >= 2) & (n / F.greatest(lines, F.lit(1)) > 0.5))
+    return let(F.size(urls(c)), lambda n: (n >= max_urls + 1) | ((n >= 2) & (n / F.greatest(lines, F.lit(1)) > 0.5)))
 
 
 def _quoted(c: Column) -> Column:
@@ -149,14 +168,18 @@ def fields_fingerprint(fields: Column, strip_trackers: Column | bool = True) ->
     """H4 of a form: hash of the canonical JSON of normalised values, without honeypots, keys in lower case."""
     kept = F.filter(F.array_sort(fields), lambda f: ~F.lower(f["k"]).isin(*HONEYPOTS))
     low = F.transform(kept, lambda f: F.struct(F.lower(f["k"]).alias("k"), spam_normalize(f["v"], strip_trackers).alias("v")))
-    keys = F.array_sort(F.array_distinct(F.transform(low, lambda f: f["k"])))
-    members = F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), _quoted(F.element_at(F.filter(low, lambda f: f["k"] == k), -1)["v"])))
-    return fnv1a32(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+
+    def body(fs: Column) -> Column:
+        keys = F.array_sort(F.array_distinct(F.transform(fs, lambda f: f["k"])))
+        members = F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), _quoted(F.element_at(F.filter(fs, lambda f: f["k"] == k), -1)["v"])))
+        return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+    return let(let(low, body), fnv1a32)
 
 
 def text_fingerprint(c: Column, strip_trackers: Column | bool = True) -> Column:
     """H4 of a list or log: hash of the normalised text."""
-    return fnv1a32(spam_normalize(c, strip_trackers))
+    return let(spam_normalize(c, strip_trackers), fnv1a32)
 
 
 def score_payload(text: Column, fields: Column, mode: Column, phrases: Column, max_urls: Column, detect_honeypot: Column | bool = True, strip_trackers: Column | bool = True) -> Column:
@@ -166,7 +189,10 @@ def score_payload(text: Column, fields: Column, mode: Column, phrases: Column, m
     largest of the rules that fire; a blank text is ``empty`` and rejected softly. Memory-less: burst and
     near_duplicate need the history operators.
     """
-    normalized = spam_normalize(text, strip_trackers)
+    return let(text, lambda t: let(spam_normalize(t, strip_trackers), lambda n: _score(t, n, fields, mode, phrases, max_urls, detect_honeypot, strip_trackers)))
+
+
+def _score(text: Column, normalized: Column, fields: Column, mode: Column, phrases: Column, max_urls: Column, detect_honeypot: Column | bool, strip_trackers: Column | bool) -> Column:
     watch = F.lit(detect_honeypot) if isinstance(detect_honeypot, bool) else F.coalesce(detect_honeypot, F.lit(True))
     rules = [
         ("honeypot", watch & fields.isNotNull() & honeypot(fields)), ("blocklist", blocklisted(text, phrases)), ("url_flood", url_flood(text, max_urls)), ("short_link", short_link(text)),
@@ -174,8 +200,12 @@ def score_payload(text: Column, fields: Column, mode: Column, phrases: Column, m
     ]
     fired = F.filter(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(name).alias("r"), F.lit(SCORES[name]).alias("s"))) for name, hit in rules)), lambda x: x.isNotNull())
     blank = js_trim(text) == ""
-    score = F.when(blank | (F.size(fired) == 0), 0.0).otherwise(F.array_max(F.transform(fired, lambda x: x["s"])))
-    reasons = F.when(blank, F.array(F.lit("empty"))).otherwise(F.transform(fired, lambda x: x["r"]))
-    decision = F.when(blank, "soft_reject").when(score >= BLOCK, "block").when(score >= SOFT, "soft_reject").otherwise("allow")
     finger = F.when((mode == "form") & fields.isNotNull(), fields_fingerprint(fields, strip_trackers)).otherwise(fnv1a32(normalized))
-    return F.struct(score.alias("score"), reasons.alias("reasons"), decision.alias("decision"), finger.alias("fingerprint"), normalized.alias("normalized"), mode.alias("mode"))
+
+    def result(hits: Column) -> Column:
+        score = F.when(blank | (F.size(hits) == 0), 0.0).otherwise(F.array_max(F.transform(hits, lambda x: x["s"])))
+        reasons = F.when(blank, F.array(F.lit("empty"))).otherwise(F.transform(hits, lambda x: x["r"]))
+        decision = lambda s: F.when(blank, "soft_reject").when(s >= BLOCK, "block").when(s >= SOFT, "soft_reject").otherwise("allow")
+        return let(score, lambda s: F.struct(s.alias("score"), reasons.alias("reasons"), decision(s).alias("decision"), finger.alias("fingerprint"), normalized.alias("normalized"), mode.alias("mode")))
+
+    return let(fired, result)

@@ -87,7 +87,7 @@ def leader_lines(docs: DataFrame, threshold: float, id_col: str = "doc_id", text
     """
     from lakesieve.functions.text import eol, raw_line
 
-    lines = F.filter(F.transform(F.split(eol(F.col(text_col)), "\n"), raw_line), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(eol(F.col(text_col)), "\n"), lambda x: raw_line(x)), lambda x: x != "")
     found = docs.where(F.col(text_col).isNotNull()).select(id_col, lines.alias("lines"))
     marked = found.withColumn("leader", F.explode(_udf(lambda k: [{"at": i, "n": n} for i, n in best_leaders(k, threshold)], "array<struct<at:int,n:int>>", F.col("lines"))))
     return marked.select(id_col, F.get("lines", F.col("leader.at")).alias("line"), F.col("leader.n").alias("n"), F.col("leader.at").alias("line_no"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesieve.plans import redelivery
+from lakesieve.plans import activity, files, lines, redelivery
 
-_PARTS = (redelivery,)
+_PARTS = (lines, files, activity, redelivery)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

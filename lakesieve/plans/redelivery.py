@@ -21,8 +21,8 @@ ORACLES = {
              regexp_replace(regexp_replace(event_id, '^[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+', ''), '[\s\x{0B}\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '') AS ident
       FROM check_requests),
     m AS (SELECT delivery_id, received_at, tenant, nullif(ident, '') AS ident,
-                 CASE WHEN nullif(ident, '') IS NULL THEN fingerprint END AS fp, CASE WHEN nullif(ident, '') IS NULL THEN sent_at END AS at FROM k)
+                 CASE WHEN nullif(ident, '') IS NULL THEN fingerprint END AS fp, CASE WHEN nullif(ident, '') IS NULL THEN sent_at END AS sent FROM k)
     SELECT delivery_id FROM (
-      SELECT delivery_id, row_number() OVER (PARTITION BY tenant, ident, fp, at ORDER BY received_at, delivery_id) AS rn FROM m) WHERE rn > 1
+      SELECT delivery_id, row_number() OVER (PARTITION BY tenant, ident, fp, sent ORDER BY received_at, delivery_id) AS rn FROM m) WHERE rn > 1
     """,
 }
