@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakesieve.functions.jsonx import valid_json
+from lakesieve.functions.spamrules import let
 from lakesieve.functions.text import LB, RB, WS, basename, extension
 
 # Extensions by kind, in their usual order.
@@ -69,7 +71,7 @@ def sniff_scores(path: Column, content: Column) -> dict[str, Column]:
     """Points of every mode. Only the first 16000 characters of the content count, as specified."""
     ext, base = extension(F.coalesce(path, F.lit(""))), basename(F.coalesce(path, F.lit("")))
     has = ext != ""
-    sample = F.substring(F.coalesce(content, F.lit("")), 1, 16000)
+    sample = F.substring(F.coalesce(content, F.lit("")), 1, 16000)  # nothing beyond is looked at
     blank = F.regexp_replace(sample, f"{S}+", "") == ""
     scores = {m: F.lit(0) for m in MODES}
     scores["txt"] = scores["txt"] + 1
@@ -92,30 +94,37 @@ def sniff_scores(path: Column, content: Column) -> dict[str, Column]:
         scores["csv"] = scores["csv"] + _points(~blank & (rows >= 2) & (rows >= F.size(lines) * 0.4), 10)
     t = F.regexp_replace(F.regexp_replace(sample, f"^{S}+", ""), f"{S}+\\z", "")
     closed = (t.startswith("[") & t.endswith("]")) | (t.startswith("{") & t.endswith("}"))
-    scores["json"] += _points(closed & F.try_parse_json(t).isNotNull(), 15)
-    parsed = F.size(F.filter(F.slice(lines, 1, 20), lambda x: (F.regexp_replace(x, f"{S}+", "") != "") & F.try_parse_json(x).isNotNull()))
+    scores["json"] += _points(closed & valid_json(t), 15)
+    parsed = F.size(F.filter(F.slice(lines, 1, 20), lambda x: (F.regexp_replace(x, f"{S}+", "") != "") & valid_json(x)))
     scores["json"] += _points(~blank & (parsed >= 2), 12)
     return scores
 
 
 def sniff_format(path: Column, content: Column) -> Column:
     """D3: struct (mode, confidence); ``skip`` for binary extensions. Ties go to the mode listed first."""
-    scores = sniff_scores(path, content)
-    ranked = F.array(*(F.struct(scores[m].alias("score"), F.lit(-i).alias("rank"), F.lit(m).alias("mode")) for i, m in enumerate(MODES)))
-    best = F.array_max(ranked)
-    skip = extension(F.coalesce(path, F.lit(""))).isin(*SKIP)
-    return F.struct(F.when(skip, "skip").otherwise(best["mode"]).alias("mode"), F.when(skip, 1.0).otherwise(F.least(F.lit(1.0), best["score"] / 25)).alias("confidence"))
+
+    def pick(best: Column) -> Column:
+        skip = extension(F.coalesce(path, F.lit(""))).isin(*SKIP)
+        return F.struct(F.when(skip, "skip").otherwise(best["mode"]).alias("mode"), F.when(skip, 1.0).otherwise(F.least(F.lit(1.0), best["score"] / 25)).alias("confidence"))
+
+    def rank(sample: Column) -> Column:
+        scores = sniff_scores(path, sample)
+        return F.array_max(F.array(*(F.struct(scores[m].alias("score"), F.lit(-i).alias("rank"), F.lit(m).alias("mode")) for i, m in enumerate(MODES))))
+
+    return let(let(F.substring(F.coalesce(content, F.lit("")), 1, 16000), rank), pick)
 
 
 def detect_language(path: Column, content: Column) -> Column:
     """The language of a program by extension, imports and keywords in its first 8000 characters, as specified."""
     ext = extension(F.coalesce(path, F.lit("")))
-    sample = F.substring(F.coalesce(content, F.lit("")), 1, 8000)
+    return let(F.substring(F.coalesce(content, F.lit("")), 1, 8000), lambda sample: _language(ext, sample))
+
+
+def _language(ext: Column, sample: Column) -> Column:
     ranked = []
     for i, (name, extensions, imports, keywords) in enumerate(LANGUAGES):
         score = _points(ext.isin(*extensions.split()), 25)
         for pattern, points in (*((p, 8) for p in imports), *((p, 4) for p in keywords)):
             score = score + _points(sample.rlike(pattern), points)
         ranked.append(F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["score"] > 0, best["name"]).otherwise("generic")
+    return let(F.array_max(F.array(*ranked)), lambda best: F.when(best["score"] > 0, best["name"]).otherwise("generic"))

@@ -50,6 +50,12 @@ def canonical_text(text: str | None) -> str | None:
     return value if isinstance(value, str) else canonical(value)
 
 
+def valid_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; the engine's parser alone stops after the first value."""
+    in_array, in_object = F.concat(F.lit("["), c, F.lit("]")), F.concat(F.lit('{"x":'), c, F.lit("}"))
+    return F.try_parse_json(c).isNotNull() & F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+
+
 def strict_canonical(c: Column) -> Column:
     """J1 with strict number and key semantics."""
 

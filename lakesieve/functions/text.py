@@ -149,13 +149,20 @@ TRACKERS: tuple[str, ...] = (
     f"[?&][^={WS}&]+=[^&{WS}]*",
 )
 
+#: Cheap patterns that match wherever the tracker at the same place does.
+TRACKER_HINTS = ("[0-9]:[0-9]{2}:[0-9]", f"[0-9][{WS}]+[A-Za-z]{{3}}[{WS}]+[0-9]{{4}}", "[0-9A-Fa-f]{8}-", "[0-9]\\.[0-9]+\\.", "[?&]")
+
+
+def _guarded(hint: str, pattern: str):
+    return lambda x: F.when(x.rlike(hint), F.regexp_replace(x, pattern, " ")).otherwise(x)
+
 
 def spam_normalize(c: Column, strip_trackers: Column | bool = True) -> Column:
     """One line, lower case, trackers blanked where ``strip_trackers`` is not false."""
     base = eol(F.coalesce(c, F.lit("")))
     bare = base
-    for pattern in TRACKERS:
-        bare = F.regexp_replace(bare, pattern, " ")
+    for hint, pattern in zip(TRACKER_HINTS, TRACKERS, strict=True):
+        bare = F.get(F.transform(F.array(bare), _guarded(hint, pattern)), F.lit(0))
     if isinstance(strip_trackers, bool):
         return F.lower(squeeze(bare if strip_trackers else base))
     return F.lower(squeeze(F.when(F.coalesce(strip_trackers, F.lit(True)), bare).otherwise(base)))

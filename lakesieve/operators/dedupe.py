@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesieve.functions import text as T
+from lakesieve.functions.jsonx import valid_json
 
 #: Lines that a document can have in a position.
 LINES = 1 << 24
@@ -94,7 +95,7 @@ def canonical_json(c: Column) -> Column:
     Numbers keep the engine's rendering: exponents, long integers and repeated keys may print differently from
     ECMAScript; such texts go through ``lakesieve.functions.jsonx`` instead.
     """
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    return F.coalesce(F.when(valid_json(c), F.to_json(F.try_parse_json(c))), c)
 
 
 def unique_json(items: DataFrame, id_col: str, text_col: str) -> DataFrame:

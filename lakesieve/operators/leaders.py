@@ -45,6 +45,9 @@ def best_leaders(keys: list[str], threshold: float) -> list[tuple[int, int]]:
             for j, (_, other, other_words, _) in enumerate(leaders):
                 if abs(len(other) - len(key)) > 0.6 * len(key):
                     continue
+                n, m = len(words), len(other_words)
+                if min(n, m) < max(threshold, best) * max(n, m):
+                    continue
                 s = similarity(key, other, words, other_words)
                 if s > best:
                     best, at = s, j

@@ -17,17 +17,17 @@ from lakesieve.streaming import events as E
 
 
 def fnv_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", fnv1a32(F.col("text")).alias("hash"))
+    return table(spark, d, "documents", True).where("text is not null").select("doc_id", fnv1a32(F.col("text")).alias("hash"))
 
 
 def spam_normalized(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "score_requests").where("text is not null")
+    q = table(spark, d, "score_requests", True).where("text is not null")
     return q.select("request_id", T.spam_normalize(F.col("text")).alias("normalized"), R.text_fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def url_hosts(spark: SparkSession, d: str) -> DataFrame:
     """URLs of requests by host."""
-    q = table(spark, d, "score_requests").where("text is not null").select("request_id", F.explode(R.urls(F.col("text"))).alias("url"))
+    q = table(spark, d, "score_requests", True).where("text is not null").select("request_id", F.explode(R.urls(F.col("text"))).alias("url"))
     return q.groupBy(R.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("urls"), F.count_distinct("request_id").alias("requests"))
 
 
@@ -38,7 +38,7 @@ def _blob(fields: Column) -> Column:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Every request scored with the options of its tenant, without memory. Fields are taken in the order of their names."""
     opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist")
-    q = table(spark, d, "score_requests").join(F.broadcast(opts), "tenant", "left")  # one row a tenant, a fixed table
+    q = table(spark, d, "score_requests", True).join(F.broadcast(opts), "tenant", "left")  # one row a tenant, a fixed table
     q = q.withColumn("ff", F.when(F.col("fields").isNotNull(), F.array_sort(R.fields_of_map(F.col("fields"))))).withColumn("blob", _blob(F.col("ff")))
     mode = F.when(F.col("fields").isNotNull(), "form").otherwise("list")
     return q.select("request_id", R.score_payload(F.col("blob"), F.col("ff"), mode, F.col("blocklist"), F.coalesce("max_urls", F.lit(3))).alias("s")).select("request_id", "s.*")
@@ -68,19 +68,19 @@ def form_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def form_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of requests with fields."""
-    q = table(spark, d, "score_requests").where("fields is not null")
+    q = table(spark, d, "score_requests", True).where("fields is not null")
     return q.select("request_id", R.fields_fingerprint(R.fields_of_map(F.col("fields"))).alias("fingerprint"))
 
 
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     """What is kept of the lines of list requests."""
-    q = table(spark, d, "score_requests").where("text is not null and mode = 'list'")
+    q = table(spark, d, "score_requests", True).where("text is not null and mode = 'list'")
     return C.clean_lines(q, "request_id", "text", "list").groupBy("request_id").agg(F.count("*").alias("lines"), F.sum(F.col("kept").cast("long")).alias("kept"))
 
 
 def clean_forms(spark: SparkSession, d: str) -> DataFrame:
     opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist")
-    q = table(spark, d, "score_requests").where("fields is not null").join(F.broadcast(opts), "tenant", "left")
+    q = table(spark, d, "score_requests", True).where("fields is not null").join(F.broadcast(opts), "tenant", "left")
     return q.select("request_id", C.clean_form(F.array_sort(R.fields_of_map(F.col("fields"))), F.col("blocklist"), F.coalesce("max_urls", F.lit(3)), F.col("mode")).alias("cleaned"))
 
 

@@ -10,11 +10,11 @@ from lakesieve.functions import text as T
 from lakesieve.operators import folder as P
 from lakesieve.operators import media as M
 from lakesieve.plans import sqltext as Q
-from lakesieve.session import table
+from lakesieve.session import spread, table
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "path", F.col("text").alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "path", F.col("text").alias("content")))
 
 
 def format_sniff(spark: SparkSession, d: str) -> DataFrame:

@@ -10,11 +10,11 @@ from lakesieve.operators import dedupe as D
 from lakesieve.operators.leaders import leader_lines
 from lakesieve.operators.verify import line_checks
 from lakesieve.plans import sqltext as Q
-from lakesieve.session import table
+from lakesieve.session import spread, table
 
 
 def _docs(spark: SparkSession, d: str, fmt: str | None = None) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "format")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "format"))
     return docs if fmt is None else docs.where(F.col("format") == fmt)
 
 

@@ -59,6 +59,17 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its files are split into fewer.
+
+    A small table in one file would otherwise be worked on by one core. Large inputs have more splits than
+    cores and are left as they are, so nothing is shuffled for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
+    """One of the Parquet tables below ``sf_dir``; ``spread_out`` for work that is heavy for each row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if spread_out else df

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of all files below ``path``, as text."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return binary_files(spark, path).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

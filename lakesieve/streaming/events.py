@@ -29,6 +29,7 @@ class TenantMemory:
         state = state or {}
         self.ids: dict[str, float] = state.get("ids", {})
         self.recent: list[tuple[str, str]] = [tuple(x) for x in state.get("recent", [])]
+        self.words: list[frozenset[str] | None] = [None] * len(self.recent)
         self.until: float = state.get("until", 0.0)
 
     def dump(self) -> dict:
@@ -42,28 +43,31 @@ class TenantMemory:
         """
         ttl = max(60, ceil(window_ms / 1000))
         if at >= self.until:
-            self.recent = []
+            self.recent, self.words = [], []
         if len(self.ids) > 1024:
             self.ids = {k: v for k, v in self.ids.items() if v > at}
-        reason = None
+        reason = words = None
         if event_id:
             if self.ids.get(event_id, float("-inf")) > at:
                 reason = "duplicate_event"
             elif remember:
                 self.ids[event_id] = at + ttl
         if reason is None:
-            words = None
-            for finger, norm in self.recent:
+            for i, (finger, norm) in enumerate(self.recent):
                 if finger == fingerprint:
                     reason = "burst"
                     break
                 if norm and normalized:
                     words = words if words is not None else word_set(normalized)
-                    if similarity(normalized, norm, words, word_set(norm)) >= threshold:
+                    if self.words[i] is None:
+                        self.words[i] = word_set(norm)
+                    few, many = sorted((len(words), len(self.words[i])))
+                    if few >= threshold * many and similarity(normalized, norm, words, self.words[i]) >= threshold:
                         reason = "near_duplicate"
                         break
         if reason is None and remember:
             self.recent = [(fingerprint, normalized), *self.recent][:RECENT]
+            self.words = [words, *self.words][:RECENT]
             self.until = at + max(60, ceil(window_ms / 1000) * 2)
         return reason
 
