@@ -156,7 +156,7 @@ class Labelers:
             words = glue == " at "
             cue = _cues(s, m.start(), m.end(), _EMAIL_CUE, _EMAIL_AFTER)
             key = _field_at(fields, place, m.start()) in FIELD_KINDS["email"]
-            votes = _vote(glue == "@" and "dot" not in domain) + _vote(glue != "@" or "dot" in domain) + _vote(bool(cue)) + _vote(key) + _vote(len(m.group(1)) >= 3, len(m.group(1)) < 2)
+            votes = _vote(glue == "@" and "dot" not in domain) + _vote(glue != "@" or "dot" in domain) + _vote(bool(cue)) + _vote(key) + _vote(len(m.group(1)) >= 3)
             found.append(("email", f"email|{votes}|{'w' if words else 's'}{cue}", m.start(), m.end()))
             taken.append((m.start(), m.end()))
 
@@ -350,7 +350,7 @@ def _features(pattern: str) -> list[str]:
     return [f"{kind}{i}{v}" for i, v in enumerate(votes)] + [f"{kind}:{rest}"]
 
 
-def train_classifier(patterns: list[tuple[str, int]], rounds: int = 400) -> dict[str, float]:
+def train_classifier(patterns: list[tuple[str, int]], rounds: int = 2000) -> dict[str, float]:
     """Probability of every pattern by a logistic classifier trained on the EM's probabilities.
 
     patterns: (pattern, number of spans), all of the corpus.
@@ -373,7 +373,7 @@ def train_classifier(patterns: list[tuple[str, int]], rounds: int = 400) -> dict
         theta = np.zeros(x.shape[1])
         for _ in range(rounds):
             guess = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            theta -= 2.0 * (x.T @ (weight * (guess - target)) + 1e-4 * theta)
+            theta -= 0.5 * (x.T @ (weight * (guess - target)) + 1e-4 * theta)
         guess = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         result.update({p: float(g) for (p, _), g in zip(mine, guess, strict=True)})
     return result

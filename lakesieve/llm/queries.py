@@ -88,4 +88,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_roundtrip": "SELECT doc_id, true AS same FROM documents"}
+    pairs = """WITH w AS (SELECT request_id, list_distinct(regexp_extract_all(lower(any_value(normalized)), '[a-z0-9_]+')) AS ws FROM score_results WHERE normalized IS NOT NULL GROUP BY 1),
+      s AS (SELECT request_id, ws, len(ws) AS n FROM w WHERE len(ws) >= 8),
+      p AS (SELECT a.request_id AS request_a, b.request_id AS request_b, len(list_intersect(a.ws, b.ws)) AS shared, a.n + b.n AS total FROM s a JOIN s b ON a.request_id < b.request_id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+      f AS (SELECT request_a, request_b, shared = total - shared AS equal FROM p WHERE shared >= 0.85 * (total - shared) - 1e-9)"""
+    return {
+        "p1_found": f"{pairs} SELECT request_a, request_b FROM f",
+        "p1_classes": f"""{pairs}, u AS (SELECT request_a AS x, request_b AS y, equal FROM f UNION ALL SELECT request_b, request_a, equal FROM f)
+          SELECT request_id, least(request_id, min(y) FILTER (WHERE equal)) AS class_id, count(y) AS links FROM s LEFT JOIN u ON x = request_id GROUP BY request_id""",
+        "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    }
