@@ -38,7 +38,7 @@ def _blob(fields: Column) -> Column:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Every request scored with the options of its tenant, without memory. Fields are taken in the order of their names."""
     opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist")
-    q = table(spark, d, "score_requests", True).join(F.broadcast(opts), "tenant", "left")  # one row a tenant, a fixed table
+    q = table(spark, d, "score_requests", True).join(opts, "tenant", "left")
     q = q.withColumn("ff", F.when(F.col("fields").isNotNull(), F.array_sort(R.fields_of_map(F.col("fields"))))).withColumn("blob", _blob(F.col("ff")))
     mode = F.when(F.col("fields").isNotNull(), "form").otherwise("list")
     return q.select("request_id", R.score_payload(F.col("blob"), F.col("ff"), mode, F.col("blocklist"), F.coalesce("max_urls", F.lit(3))).alias("s")).select("request_id", "s.*")
@@ -80,7 +80,7 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_forms(spark: SparkSession, d: str) -> DataFrame:
     opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist")
-    q = table(spark, d, "score_requests", True).where("fields is not null").join(F.broadcast(opts), "tenant", "left")
+    q = table(spark, d, "score_requests", True).where("fields is not null").join(opts, "tenant", "left")
     return q.select("request_id", C.clean_form(F.array_sort(R.fields_of_map(F.col("fields"))), F.col("blocklist"), F.coalesce("max_urls", F.lit(3)), F.col("mode")).alias("cleaned"))
 
 
@@ -95,7 +95,7 @@ def usage_history(spark: SparkSession, d: str) -> DataFrame:
 def quota_cutoff(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries beyond their tenant's daily limit (a hundredth of it, so that some are), by tenant."""
     limits = table(spark, d, "tenants").select("tenant", "daily_limit")
-    c = table(spark, d, "check_requests").select("delivery_id", "tenant", "received_at").join(F.broadcast(limits), "tenant", "left")
+    c = table(spark, d, "check_requests").select("delivery_id", "tenant", "received_at").join(limits, "tenant", "left")
     q = U.within_quota(c, "tenant", "received_at", "delivery_id", F.floor(F.col("daily_limit") / 100))
     return q.groupBy("tenant").agg(F.count("*").alias("calls"), F.sum(F.col("admitted").cast("long")).alias("admitted"))
 
@@ -125,7 +125,7 @@ def burst_runs(spark: SparkSession, d: str) -> DataFrame:
 def event_replay(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries checked one after another against their tenant's memory."""
     opts = table(spark, d, "spam_opts").select("tenant", F.col("burst_window_ms").alias("window_ms"))
-    c = table(spark, d, "check_requests").join(F.broadcast(opts), "tenant", "left")
+    c = table(spark, d, "check_requests").join(opts, "tenant", "left")
     return E.replay(c.select("tenant", "delivery_id", T.js_trim(F.col("event_id")).alias("event_id"), "fingerprint", T.spam_normalize(F.col("payload")).alias("normalized"), F.col("received_at").alias("at"), "window_ms", "remember"))
 
 
