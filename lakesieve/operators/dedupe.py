@@ -73,7 +73,8 @@ def stats(lines: DataFrame, uniques: DataFrame, count_blank: bool = False) -> Da
     """One row (total, removed, remaining). ``count_blank``: blank lines count, as for logs, code and lists."""
     total = lines.agg(F.count("*").alias("total")) if count_blank else lines.where(T.js_trim(F.col("line")) != "").agg(F.count("*").alias("total"))
     left = uniques.agg(F.count("*").alias("remaining"))
-    return total.join(F.broadcast(left)).select("total", (F.col("total") - F.col("remaining")).alias("removed"), "remaining")
+    both = total.select("total", F.lit(0).cast("long").alias("remaining")).unionByName(left.select(F.lit(0).cast("long").alias("total"), "remaining"))
+    return both.agg(F.sum("total").alias("total"), F.sum("remaining").alias("remaining")).select("total", (F.col("total") - F.col("remaining")).alias("removed"), "remaining")
 
 
 def csv_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,4 +166,6 @@ def folder_stats(files: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row (files, groups, removed, kept)."""
     total = files.where("path is not null").agg(F.count_distinct("path").alias("files"))
     gone = duplicates.agg(F.count_distinct("hash").alias("groups"), F.sum(F.when(~F.col("kept"), 1).otherwise(0)).alias("removed"))
-    return total.join(F.broadcast(gone)).select("files", "groups", F.coalesce("removed", F.lit(0)).alias("removed"), (F.col("files") - F.coalesce("removed", F.lit(0))).alias("kept"))
+    zero = F.lit(0).cast("long")
+    both = total.select("files", zero.alias("groups"), zero.alias("removed")).unionByName(gone.select(zero.alias("files"), "groups", F.coalesce("removed", zero).alias("removed")))
+    return both.agg(*(F.sum(c).alias(c) for c in ("files", "groups", "removed"))).withColumn("kept", F.col("files") - F.col("removed"))

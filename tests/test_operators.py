@@ -178,3 +178,14 @@ def test_retries_and_checkpoints(spark):
     for i in range(3):
         c.push(str(i), spark.range(i))
     assert (c.revert()[0], c.revert()[0], len(c.states)) == ("2", "1", 0)
+
+
+def test_scratch_is_dropped(spark):
+    import os
+
+    from lakesieve.session import drop_scratch, materialize
+
+    df = materialize(spark.range(3), "kept")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 3 and os.path.exists(path)
+    assert drop_scratch(spark) >= 1 and not os.path.exists(path)
