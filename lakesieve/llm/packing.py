@@ -93,10 +93,10 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     k = least_windows(sizes, capacity)
     while True:
         windows = difference(sizes, k)
-        over = sum(total - capacity for total, _ in windows if total > capacity)
+        over = sum(1 for total, _ in windows if total > capacity)
         if not over:
             return [items for _, items in windows]
-        k += max(1, over // (8 * capacity))
+        k += 1 + over // 32
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
