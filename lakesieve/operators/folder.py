@@ -162,6 +162,36 @@ def duplicate_blocks(blocks: DataFrame, preserve_entries: bool = True) -> DataFr
     return g.where("copies > 1").select("hash", "copies", "intentional", F.col("k.path").alias("keeper"))
 
 
+def remove_blocks(files: DataFrame, blocks: DataFrame, path: str = "path", content: str = "content", preserve_entries: bool = True) -> DataFrame:
+    """P10: (path, content) without the repeated blocks of groups that are not intentional; the first block stays.
+
+    Works on sets of lines, so several blocks may leave one file. Files without such blocks stay as they are; null
+    paths and contents are left out.
+    """
+    groups = duplicate_blocks(blocks, preserve_entries).where("not intentional").select("hash")
+    b = blocks.withColumn("hash", F.sha2("norm", 256)).join(groups, "hash")
+    keeper = b.groupBy("hash").agg(F.min(F.struct("path", "first")).alias("k"))
+    gone = b.join(keeper, "hash").where((F.col("path") != F.col("k.path")) | (F.col("first") != F.col("k.first")))
+    cut = gone.select("path", F.explode(F.sequence("first", "last")).alias("line_no")).groupBy("path").agg(F.collect_set("line_no").alias("cut"))
+    narrow = files.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(F.col(path).alias("path"), F.col(content).alias("content"))
+    left = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains("cut", i))
+    return narrow.join(cut, "path", "left").select("path", F.when(F.col("cut").isNull(), F.col("content")).otherwise(F.array_join(left, "\n")).alias("content"))
+
+
+def within_file_lines(files: DataFrame, path: str = "path", content: str = "content", marker: str | None = None, ignore_case: bool = False) -> DataFrame:
+    """(path, content, removed): every file without the repeats of its own lines, which keep their order.
+
+    A file that contains ``marker`` (a regular expression) stays as it is, as does a file without repeats. Blank lines
+    of a rewritten file go. The work is within a row, so nothing is shuffled.
+    """
+    narrow = files.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(F.col(path).alias("path"), F.col(content).alias("content"))
+    lines = F.filter(F.transform(F.split(T.eol(F.col("content")), "\n"), lambda x: T.raw_line(x)), lambda x: x != "")
+    rows = narrow.withColumn("lines", lines).withColumn("keys", F.transform("lines", lambda x: T.comparison_key(x, ignore_case=ignore_case)))
+    kept = rows.withColumn("kept", F.filter("lines", lambda x, i: F.array_position("keys", F.get("keys", i)) == i + 1)).withColumn("removed", F.size("lines") - F.size("kept"))
+    stays = (F.col("removed") == 0) if marker is None else (F.col("removed") == 0) | F.col("content").rlike(marker)
+    return kept.select("path", F.when(stays, F.col("content")).otherwise(F.array_join("kept", "\n")).alias("content"), F.when(stays, 0).otherwise(F.col("removed")).alias("removed"))
+
+
 def folder_stats(files: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row (files, groups, removed, kept)."""
     total = files.where("path is not null").agg(F.count_distinct("path").alias("files"))

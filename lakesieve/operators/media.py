@@ -142,3 +142,19 @@ def warped_similarity(costs: np.ndarray, band: float = 0.22) -> float:
 def distinct_frames(hashes: Column) -> Column:
     """A list of frame hashes without those within one bit of the last one kept."""
     return F.aggregate(hashes, F.array().cast("array<bigint>"), lambda kept, h: F.when((F.size(kept) > 0) & (F.bit_count(F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)).bitwiseXOR(h)) <= 1), kept).otherwise(F.concat(kept, F.array(h))))
+
+
+def matches_of_target(items: DataFrame, target: dict[str, int], percent: float = 92) -> DataFrame:
+    """``items`` whose hashes all differ from the target's in few enough bits, with the worst ``distance``.
+
+    ``target`` names hash columns and their values; the target is a literal, so this is a filter of one scan.
+    """
+    worst = F.greatest(*(hamming(F.col(h), F.lit(v).cast("long")) for h, v in target.items()), F.lit(0))
+    return items.withColumn("distance", worst).where(F.col("distance") <= most_distance(percent))
+
+
+def video_score(hue: Column, luma: Column, saturation: Column, frames: Column, shorter: Column, longer: Column) -> Column:
+    """Score of two clips from hue similarity, differences of means, frame similarity (G10) and durations."""
+    ratio = shorter / longer
+    scale = F.when(ratio < 0.45, 0.5 + ratio).otherwise(1.0)
+    return F.when((hue < 0.42) | (luma > 0.28) | (saturation > 0.35), 0.0).otherwise(frames * scale)

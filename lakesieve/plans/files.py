@@ -74,6 +74,24 @@ def canonical_media(spark: SparkSession, d: str) -> DataFrame:
     return M.canonical_media(M.media_clusters(items), items)
 
 
+def within_file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that repeat within their file, by file."""
+    return P.within_file_lines(_files(spark, d)).select("path", F.col("removed").cast("long").alias("removed"))
+
+
+def code_without_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Programs without repeated blocks: characters left, by file."""
+    files = _files(spark, d).where(F.col("path").rlike("\\.(py|js|ts)$"))
+    return P.remove_blocks(files, P.code_blocks(files)).select("path", F.length("content").alias("characters"))
+
+
+def media_target(spark: SparkSession, d: str) -> DataFrame:
+    """Media within the widest distance of one target: the first item."""
+    items = _media(spark, d)
+    target = items.agg(F.min_by("dhash", "item")).first()[0]
+    return M.matches_of_target(items, {"dhash": target}, 75).select("item", "distance")
+
+
 def hue_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Histogram similarity of each vector's first twelve values and the next twelve, as shares."""
     e = table(spark, d, "embeddings")
@@ -87,7 +105,7 @@ def dimension_gate(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w")).alias("resized"), M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w"), False).alias("same_size"))
 
 
-QUERIES = {f.__name__: f for f in (format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, media_pairs, media_clusters, canonical_media, hue_similarity, dimension_gate)}
+QUERIES = {f.__name__: f for f in (format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, within_file_lines, code_without_blocks, media_pairs, media_clusters, canonical_media, media_target, hue_similarity, dimension_gate)}
 
 
 def _isin(expr: str, values) -> str:
@@ -166,6 +184,8 @@ ORACLES = {
     "media_pairs": f"WITH {_MEDIA} SELECT a, b, distance FROM p",
     "media_clusters": f"{_CLUSTERS} SELECT item, component FROM c",
     "canonical_media": f"{_CLUSTERS} SELECT component, arg_min(item, (-bytes, path)) AS kept, count(*) AS members FROM c JOIN m USING (item) GROUP BY component",
+    "within_file_lines": f"SELECT any_value(path) AS path, count(*) - count(DISTINCT line) - count(*) FILTER (WHERE line = '') + count(DISTINCT line) FILTER (WHERE line = '') AS removed FROM (SELECT doc_id, path, {Q.raw_line('u.l')} AS line FROM documents, unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i) WHERE text IS NOT NULL AND path IS NOT NULL) GROUP BY doc_id",
+    "media_target": f"WITH {_MEDIA} SELECT item, bit_count(xor(dhash, (SELECT arg_min(dhash, item) FROM m))::BIT)::INTEGER AS distance FROM m WHERE bit_count(xor(dhash, (SELECT arg_min(dhash, item) FROM m))::BIT) <= 16",
     "hue_similarity": f"""SELECT vec_id, round(0.65 * list_sum(list_transform(list_zip(a, b), lambda z: sqrt(z[1] * z[2]))) + 0.35 / (1 + list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / (z[1] + z[2] + 1e-6)))), 6) AS similarity
       FROM (SELECT vec_id, {_SHARE.format(a=1, b=12)} AS a, {_SHARE.format(a=13, b=24)} AS b FROM embeddings)""",
     "dimension_gate": "SELECT p_partkey, greatest(w / h, h / w) / least(w / h, h / w) <= 3 AS resized, greatest(w / h, h / w) / least(w / h, h / w) <= 1.2 AS same_size FROM (SELECT p_partkey, p_partkey % 40 + 1 AS w, p_size + 1 AS h FROM part)",

@@ -189,3 +189,18 @@ def test_scratch_is_dropped(spark):
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert df.count() == 3 and os.path.exists(path)
     assert drop_scratch(spark) >= 1 and not os.path.exists(path)
+
+
+def test_blocks_and_lines_within_files(spark):
+    body = "def f(x):\n    return x + 1\n"
+    code = spark.createDataFrame([("a/m1.py", body + "z = 1"), ("a/m2.py", body + "y = 2\n\n" + body), ("a/n.py", None)], "path string, content string")
+    left = {r.path: r.content for r in P.remove_blocks(code, P.code_blocks(code)).collect()}
+    assert left == {"a/m1.py": body + "z = 1", "a/m2.py": "y = 2\n"}
+    files = spark.createDataFrame([("a", "x\nx\n\ny"), ("b", "# stay\nx\nx"), ("c", "1\n2\n"), (None, "x")], "path string, content string")
+    got = {r.path: (r.content, r.removed) for r in P.within_file_lines(files, marker="# stay").collect()}
+    assert got == {"a": ("x\ny", 1), "b": ("# stay\nx\nx", 0), "c": ("1\n2\n", 0)}
+
+
+def test_target(spark):
+    items = spark.createDataFrame([(1, 0), (2, 7), (3, -1), (4, None)], "item long, dhash long")
+    assert {(r.item, r.distance) for r in M.matches_of_target(items, {"dhash": 1}).collect()} == {(1, 1), (2, 2)}
