@@ -105,6 +105,11 @@ class SizeClasses:
             self.high.append(max(self.low[-1], floor(self.low[-1] * max(self.growth, 1 / self.t))))
             self.orders.append(self._orders(self.high[-1]))
 
+    def reach_beyond(self, size: int) -> None:
+        """Also the class after that of ``size``: its sets may be in other batches or tasks only."""
+        self.reach(size)
+        self.reach(self.high[-1] + 1 if self.low[-1] <= size else size)
+
 
 def order_keys(hashes: np.ndarray, counts: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
     """Prefix keys of every set: (flat int32 keys, number of keys of each set).
@@ -115,13 +120,13 @@ def order_keys(hashes: np.ndarray, counts: np.ndarray, classes: SizeClasses) ->
     """
     if not len(counts):
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    classes.reach(int(counts.max()))
+    classes.reach_beyond(int(counts.max()))
     low, high, orders = map(np.array, (classes.low, classes.high, classes.orders))
     own = np.searchsorted(high, counts, side="left")
     doc_of = np.repeat(np.arange(len(counts)), counts)
     mixed = mix64(hashes)
-    nxt = np.minimum(own + 1, len(low) - 1)
-    also = (own + 1 < len(low)) & (counts >= np.ceil(classes.t * low[nxt] - 1e-9))
+    nxt = own + 1
+    also = counts >= np.ceil(classes.t * low[nxt] - 1e-9)
     parts_docs, parts_keys = [], []
     for who, tag in ((np.ones(len(counts), bool), own), (also, nxt)):
         docs = np.flatnonzero(who)

@@ -66,6 +66,17 @@ def test_size_classes_cover_all_pairs():
                     assert j == i or a >= t * c.low[j] - 1e-9
 
 
+def test_pairs_across_size_classes_and_partitions(spark):
+    words = [f"w{i}" for i in range(130)]
+    rows = []
+    for n in (10, 14, 105):  # the largest sizes of their classes at 0.85 from 8 words on
+        rows += [(n, " ".join(words[:n])), (1000 + n, " ".join(words[: n + 1]))]
+    sets = {i: words_of(t) for i, t in rows}
+    true = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.85 - 1e-9}
+    apart = spark.sparkContext.parallelize(rows, len(rows)).toDF("doc long, body string")
+    assert {tuple(r) for r in similar_pairs(apart, "doc", "body", 0.85, 8).collect()} == true and (10, 1010) in true
+
+
 def results(spark, seed, n=160, batches=6):
     rng = random.Random(seed)
     rows = []
