@@ -87,16 +87,18 @@ def least_windows(sizes: list[int], capacity: int) -> int:
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows (lists of item indices) of at most ``capacity``; every item must fit."""
+    """Windows (lists of item indices) of at most ``capacity``; every item must fit.
+
+    Their number is the least, from the lower bound on, whose differencing fits: none is skipped.
+    """
     if not sizes:
         return []
     k = least_windows(sizes, capacity)
     while True:
         windows = difference(sizes, k)
-        over = sum(1 for total, _ in windows if total > capacity)
-        if not over:
+        if all(total <= capacity for total, _ in windows):
             return [items for _, items in windows]
-        k += 1 + over // 32
+        k += 1
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:

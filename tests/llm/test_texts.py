@@ -131,6 +131,15 @@ def test_differencing_balances():
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) < 20
 
 
+def test_pack_skips_no_window_count():
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = sorted((rng.randint(1, 600) for _ in range(1600)), reverse=True)
+        k = len(packing.pack(sizes, 2048))
+        fits = [max(total for total, _ in packing.difference(sizes, n)) <= 2048 for n in range(packing.least_windows(sizes, 2048), k)]
+        assert fits and not any(fits)
+
+
 def test_containers(spark):
     rng = random.Random(4)
     rows = [(i, rng.randint(0, 900), 7) for i in range(500)] + [(None, 5, 7), (501, 5000, 7), (502, 1024, 7)]
