@@ -1,10 +1,11 @@
 """Problem 8: text cut off by field limits or in transfer.
 
 Method. A self-join by prefix: values are joined on hashes of fixed-length prefixes, and a value that is a
-strict prefix of a longer copy elsewhere is cut. Whole documents rarely have a longer copy, so the same join
-also runs on the documents' last units: the last word of prose, the last cell of a row, the end of a log line,
-the last line of a form, mail or program. An end that never closes a complete unit elsewhere, or is a strict
-prefix of longer ones that do, is cut. Ends that can be judged by themselves (a terminated sentence, JSON that
+strict prefix of a longer copy elsewhere that goes on in the same line is cut, whatever its last unit is. Whole
+documents rarely have a longer copy; the others are judged by their last units: the last word of prose, the last
+cell of a row, the end of a log line, the last line of a form, mail or program. For prose, code, forms and logs
+the frequency decides with which such a unit closes complete ones elsewhere; the prefix join of units adds to it
+for mail, headings and cells that are not numbers only. Ends that can be judged by themselves (a terminated sentence, JSON that
 parses, an unfinished character) are settled before the join.
 
 Length limits are learned per source from all documents: a limit is the source's largest length, in characters
@@ -32,6 +33,9 @@ LEAST_PREFIX = 32
 LIMIT_DOCS = 3
 #: Keys a task counts before it hands them on.
 MOST_KEYS = 200_000
+#: Blanks of a text for Spark, and how a longer copy goes on after an unfinished word, sentence or row.
+_BLANK = r"[\s\u0085   -     　]"
+_GOES_ON = r"^(?:[^ \n\p{So}\p{Cf}]| [\p{L}\p{N}])"
 _END = ".!?。！？…।؟"
 _CLOSERS = "\"'»”’)]}›」』*_`"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -262,7 +266,9 @@ def extended(keys: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def prefix_values(known: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id`` of documents whose value is a strict prefix of a longer document (of LEAST_PREFIX characters or more).
+    """(doc_id, unfinished) of documents whose value is a strict prefix of a longer document (of LEAST_PREFIX characters or more).
+
+    ``unfinished``: a longer copy goes on in the same line, so the last word, sentence or row is not whole.
 
     Distinct values are joined on the hash of the longest doubled prefix that fits the shorter one; the text
     decides. Copies of a value count once, so a hot group costs one row per different value.
@@ -274,11 +280,13 @@ def prefix_values(known: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = materialize(probe.join(index, "h").where("longer > length").select("head", "other").distinct(), "prefix-pairs")
     wanted = pairs.select(F.col("head").alias("doc_id")).union(pairs.select(F.col("other").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    flat = texts.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "﻿", ""), r"[\s\u0085   -     　]+", " ")).alias("text"))
-    both = pairs.join(flat.select(F.col("doc_id").alias("head"), F.col("text").alias("a")), "head").join(flat.select(F.col("doc_id").alias("other"), F.col("text").alias("b")), "other")
-    heads = both.where("startswith(b, a) and length(b) > length(a)").select("head").distinct()
-    cut_values = values.join(heads, "head", "left_semi").select("value")
-    return known.join(cut_values, "value", "left_semi").select("doc_id").distinct()
+    lined = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "﻿", ""), rf"(?:(?![\n\r]){_BLANK})+", " "), r" ?[\n\r][\n\r ]*", "\n")
+    flat = texts.select("doc_id", F.btrim(lined, F.lit(" \n")).alias("lined"), F.endswith(lined, F.lit("\n")).alias("ended")).withColumn("text", F.translate("lined", "\n", " "))
+    both = pairs.join(flat.select(F.col("doc_id").alias("head"), F.col("text").alias("a"), "ended"), "head").join(flat.select(F.col("doc_id").alias("other"), F.col("text").alias("b"), "lined"), "other")
+    unfinished = ~F.col("ended") & F.expr("substring(lined, length(a) + 1, 2)").rlike(_GOES_ON)
+    heads = both.where("startswith(b, a) and length(b) > length(a)").groupBy("head").agg(F.max(unfinished).alias("unfinished"))
+    cut_values = values.join(heads, "head").select("value", "unfinished")
+    return known.join(cut_values, "value").groupBy("doc_id").agg(F.max("unfinished").alias("unfinished"))
 
 
 def limits(known: DataFrame) -> DataFrame:
@@ -321,7 +329,7 @@ def evidence(docs: DataFrame) -> DataFrame:
     prefixed = prefix_values(known, docs).withColumn("prefix", F.lit(True))
     all_ = known.join(judged, ["kind", "key"], "left").join(limit, "source", "left").join(elsewhere, "doc_id", "left").join(prefixed, "doc_id", "left")
     at_limit = F.coalesce(near, F.col("elsewhere"), F.lit(False))
-    state = F.when(F.col("state") != "open", F.col("state")).when(F.col("whole"), "complete").otherwise("cut")
+    state = F.when(F.col("state") != "open", F.col("state")).when(F.col("unfinished"), "cut").when(F.col("whole"), "complete").otherwise("cut")
     flat = all_.select("doc_id", "source", "kind", "key", state.alias("state"), at_limit.alias("at_limit"), F.coalesce("prefix", F.lit(False)).alias("prefix"))
     at_cut = (F.col("state") == "dots") & F.col("at_limit")
     return flat.withColumn("cut", (F.col("state") == "cut") | at_cut | (F.col("prefix") & (F.col("state") != "complete")))

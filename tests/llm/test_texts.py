@@ -201,3 +201,13 @@ def test_cut_documents(spark):
     shares = {r.source: (r.documents, r.cut) for r in cutoff.cut_shares(docs).collect()}
     assert shares["short"][0] == 20 and shares[None] == (2, 0)
     assert cutoff.cut_documents(docs.limit(0)).count() == 0
+
+
+def test_longer_copy_overrides_frequency(spark):
+    places = ["river", "market", "harbour"]
+    full = [f"Crew {i} walked along and rested near {places[i % 3]}. They stayed until noon beside {places[(i + 1) % 3]}." for i in range(60)]
+    open_ = [f"Visit {i} began late, the guide of group {i} waited in the rain near river" for i in range(4)]
+    rows = list(enumerate(full)) + [(100 + i, t) for i, t in enumerate(open_)]
+    rows += [(200, open_[0] + " beds and then went home."), (201, open_[1] + "side cafes."), (202, open_[2] + "\n\nNext day they left.")]
+    docs = spark.createDataFrame([(i, t, None, "txt") for i, t in rows], "doc_id long, text string, source string, format string")
+    assert {r[0] for r in cutoff.cut_documents(docs).collect()} == {100, 101}
