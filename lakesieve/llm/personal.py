@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lakesieve.llm.lookalike import plain_with_offsets
 from lakesieve.session import materialize
 
+#: Words of one name; a longer span is parted into persons.
+NAME_WORDS = 4
 KINDS = ("email", "phone", "idnumber", "address", "name")
 # Words that surround the kinds, names of form fields, and kinds of streets.
 STREETS = "street|st|road|rd|avenue|ave|lane|ln|way|court|ct|crescent|close|terrace|boulevard|blvd|drive|square|place|row|gardens"
@@ -204,6 +206,24 @@ class Labelers:
             found.append(("address", f"address|{votes}|{which}{cue}{'f' * filler}", m.start(), m.end()))
             taken.append((m.start(), m.end()))
 
+    def _persons(self, s: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The span, or its persons if it has more than NAME_WORDS words: parted at commas (but not in "family,
+        given") and before what follows a given with a family name. A part may still be long."""
+        words = [(m.start() + start, m.end() + start, m.group().split("-")[0]) for m in re.finditer(r"[^\s,.]+", s[start:end])]
+        if len(words) <= NAME_WORDS:
+            return [(start, end)]
+        parts = [[words[0]]]
+        for last, word in zip(words, words[1:], strict=False):
+            now = [w for _, _, w in parts[-1]]
+            whole = len(now) > 1 and any(w in self.given for w in now) and any(w in self.family for w in now)
+            turned = len(now) == 1 and now[0] in self.family and word[2] in self.given
+            comma = "," in s[last[1] : word[0]]
+            if (comma and not turned) or (whole and word[2] in (self.family if now[0] in self.family else self.given)):
+                parts.append([word])
+            else:
+                parts[-1].append(word)
+        return [(p[0][0], p[-1][1]) for p in parts]
+
     def _names(self, s, clean, place, fields, found, taken) -> None:
         key_place = place in FIELD_KINDS["name"]
         slots: list[tuple[int, int]] = []
@@ -233,6 +253,8 @@ class Labelers:
             if run:
                 runs.append((run[0][0], run[-1][1]))
             run = [t] if known else []
+        runs = [p for x in runs for p in self._persons(s, *x)]
+        spans = [p for x in spans for p in self._persons(s, *x)]
         covered: list[tuple[int, int]] = []
         for a, b in [*spans, *runs]:
             while a < b and not s[a].isalpha():
@@ -245,8 +267,9 @@ class Labelers:
                 continue
             words = [w for w in re.split(r"[\s,.]+", s[a:b]) if w]
             parts = [p for w in words for p in w.split("-")]
-            if not words or len(words) > 4:
+            if not words:
                 continue
+            long = len(words) > NAME_WORDS
             slot = any(a >= x and b <= y for x, y in slots)
             field = place in FIELD_KINDS["name"] or (bool(name_fields) and _field_at(fields, place, a) in FIELD_KINDS["name"] and (a, b) not in runs)
             known = [p in self.names for p in parts]
@@ -259,8 +282,9 @@ class Labelers:
             upper = place == "normalized" or all(w[:1].isupper() for w in clean[a:b].split())
             shaped = len(parts) > 1 and not stop and not all(common) and upper
             votes = _vote(shaped) + _vote(pair) + _vote(False, stop) + _vote(sure, all(common) and not pair) + _vote((slot or title) and not stop) + _vote(field and not stop) + _vote(place != "normalized" and case and any(known), not any(known) and not slot and not field)
-            found.append(("name", f"name|{votes}|{min(len(words), 3)}{'k' * all(known)}{'s' * stop}{'c' * all(common)}", a, b))
-            covered.append((a, b))
+            found.append(("name", f"name|{votes}|{min(len(words), 3)}{'l' * long}{'k' * all(known)}{'s' * stop}{'c' * all(common)}", a, b))
+            if not long:  # the names within a long one are proposed as well, as it may be rejected
+                covered.append((a, b))
 
 
 def values_of(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -83,6 +83,20 @@ def test_personal_table(spark):
     assert found_places(empty, spark.createDataFrame([], r.schema), spark.createDataFrame([], n.schema)).count() == 0
 
 
+def test_name_lists_are_parted(spark):
+    lab = Labelers(NAMES, set())
+    for text in ("Ada Varrowby, Rose Skeldrin, Ada Skeldrin", "Varrowby, Ada, Skeldrin, Rose, Skeldrin, Ada", "Ada Varrowby Rose Skeldrin Ada Skeldrin"):
+        text = f"We met {text}"
+        spans = [text[a:b] for k, _, a, b in lab.spans(text, "message") if k == "name"]
+        assert len(spans) == 3 and all(len(x.split()) == 2 for x in spans)
+    assert [k for k, *_ in lab.spans("Oro Bel Tasi Umun Keld", "name")] == ["name"]
+    q = spark.createDataFrame([(i, {"message": f"We met {t}"}) for i, t in enumerate(["Ada Varrowby", "Rose Skeldrin", "Ada Varrowby, Rose Skeldrin, Ada Skeldrin"])], "request_id long, fields map<string,string>")
+    r = spark.createDataFrame([], "request_id long, normalized string")
+    n = spark.createDataFrame(NAMES, "name string, kind string")
+    assert (2, "message", "name") in set(map(tuple, found_places(q, r, n).collect()))
+    assert {x.request_id: x.masked for x in masked(q, r, n).collect()}[2] == "We met [NAME], [NAME], [NAME]"
+
+
 def test_em_prefers_agreement():
     import numpy as np
 
