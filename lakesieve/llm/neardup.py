@@ -1,13 +1,18 @@
 """Problem 1: near-duplicate records with small edits, by a grouped prefix join.
 
-Method. Documents with the same word set collapse into one class. Every class gets prefixes under several
-token orders (``signatures.order_keys``); classes with an identical prefix form a group, which also holds
-the sizes. Pairs within a group are filtered by size and by the parity maps of the word sets before anything
-is looked up; the remaining pairs of classes are verified on the words themselves and expanded to members.
-
-Why several orders and not one rarest-first prefix: on a bounded vocabulary even the rarest words of a text
-are frequent, so one order's candidates grow with the square of the corpus. With one more order than similar
-sets can have differing words, one whole prefix of about six words must coincide; the join is still exact.
+Method. Documents with the same word set collapse into one set. Every set gets prefixes under several token orders
+(``signatures.prefixes``), so that similar sets share at least one whole prefix. Sets with an identical prefix and
+an identical size form one group, a row (key, size, members). Pairs of groups with the same prefix are filtered by
+their sizes; those that are left are expanded to pairs of members, filtered by the parity maps of the word sets and
+verified on the words themselves.
+
+Why several orders and not one rarest-first prefix: on a bounded vocabulary even the rarest words of a text are
+frequent, so one order's candidates grow with the square of the corpus at once. A whole prefix of about seven words
+is rarer, but still frequent in a large enough corpus: a prefix that more than HOT sets have is lengthened by one
+more block of words (``wide``), which finds all similar sets again. What is still shared by very many sets is shared
+by sets with much in common, whose pairs are mostly results; their groups are cut into chunks that are paired in
+separate cells, so no task gets them all. How many sets have a prefix is estimated from every SAMPLE-th set, chosen
+by hash; that decides how a prefix is worked on, never whether a pair is found.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.llm import signatures as S
 from lakesieve.llm.verify import jaccard, with_texts
 from lakesieve.session import materialize
 
-_SCHEMA = "id long, set_id long, size int, parity long, keys array<int>"
+_SCHEMA = "id long, set_id long, size int, parity long, keys array<long>, wide array<int>"
+#: One set in SAMPLE tells how many have a prefix; prefixes of more than HOT sets are lengthened; members of a chunk.
+SAMPLE, HOT, CHUNK = 8, 32, 512
 
 
 def _signer(threshold: float, min_words: int):
@@ -38,6 +45,7 @@ def _signer(threshold: float, min_words: int):
             counts = counts[enough]
             ids = batch.column(0).filter(pa.array(enough))
             set_ids = S.set_hash(hashes, counts).view(np.int64)
+            parity = S.parity_map(hashes, counts).view(np.int64)
             # A set needs its keys once per task: repeated copies send their membership only.
             if len(seen) > S.CACHE_WORDS:
                 seen.clear()
@@ -46,41 +54,107 @@ def _signer(threshold: float, min_words: int):
                 if s not in seen:
                     seen.add(s)
                     new[i] = True
-            flat, n = S.order_keys(hashes[np.repeat(new, counts)], counts[new], classes)
-            per_row = np.zeros(len(counts), np.int64)
-            per_row[new] = n
+            rows = np.flatnonzero(new)
+            p = S.prefixes(hashes[np.repeat(new, counts)], counts[new], classes)
+            # One row a document, and one more for every other class that a set takes part in.
+            extra = np.flatnonzero(~p.own)
+            of = np.concatenate([np.arange(len(counts)), rows[p.of[extra]]])
+            n_keys, n_wide = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+            target = np.concatenate([rows, len(counts) + np.arange(len(extra))])
+            n_keys[target], n_wide[target] = p.n_keys, p.n_wide
+            no_id = pa.nulls(len(extra), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(set_ids), pa.array(counts.astype(np.int32)), pa.array(S.parity_map(hashes, counts).view(np.int64)), S.list_array(flat, per_row, pa.int32())],
-                ["id", "set_id", "size", "parity", "keys"],
-            )
+                [
+                    pa.concat_arrays([ids.cast(pa.int64()), no_id]), pa.array(set_ids[of]), pa.array(counts[of].astype(np.int32)), pa.array(parity[of]),
+                    S.list_array(p.keys, n_keys, pa.int64()), S.list_array(p.wide, n_wide, pa.int32()),
+                ],
+                ["id", "set_id", "size", "parity", "keys", "wide"],
+            )
 
     return run
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, threshold: float, min_words: int) -> DataFrame:
-    """(id, set_id, size, parity, keys) of every document of at least ``min_words`` words, materialised."""
+    """The signatures of every document of at least ``min_words`` words, materialised.
+
+    (id, set_id, size, parity, keys, wide): one row a document, whose keys are empty for copies of a set seen before
+    in the task, and one without id for a set's second size class.
+    """
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return materialize(narrow.mapInArrow(_signer(threshold, min_words), _SCHEMA), "signed")
 
 
-def class_pairs(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(set_a, set_b, similarity) of all classes of different word sets that are at least ``threshold`` similar."""
-    postings = sig.where(F.size("keys") > 0).select("set_id", "size", "parity", F.explode("keys").alias("key"))
-    a, b = postings.alias("a"), postings.alias("b")
-    limit = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) + F.lit(1e-9))
-    pairs = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .where(
-            ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.set_id") < F.col("b.set_id"))))
-            & (F.col("a.size") >= F.lit(threshold) * F.col("b.size") - F.lit(1e-9))
-            & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= limit)
-        )
-        .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+def members_of(sig: DataFrame) -> DataFrame:
+    """(id, set_id) of every document."""
+    return sig.where("id is not null").select("id", "set_id").distinct()
+
+
+def _common(postings: DataFrame) -> DataFrame:
+    """(key, sets): an estimate of how many sets have a key, for the keys of more than HOT sets."""
+    some = postings.where(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("sets"))
+    return some.where(F.col("sets") > HOT)
+
+
+def _lengthened(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(postings, (key, sets) of the keys that many sets share even when lengthened).
+
+    postings: (key, set_id, size, parity). A key of many sets is replaced by one for each of the set's wide blocks.
+    """
+    base = sig.where(F.size("keys") > 0).select("set_id", "size", "parity", F.explode("keys").alias("key"))
+    common = materialize(_common(base.select("key", "set_id")), "common")
+    if common.isEmpty():
+        return base, None
+    with_wide = sig.where(F.size("keys") > 0).select("set_id", "size", "parity", "wide", F.explode("keys").alias("key")).join(common, "key", "left")
+    block = F.when(F.col("sets").isNotNull(), F.transform("wide", lambda w, i: F.xxhash64("key", i, w))).otherwise(F.array("key"))
+    postings = materialize(with_wide.select("set_id", "size", "parity", F.explode(block).alias("key")), "postings")
+    return postings, materialize(_common(postings.select("key", "set_id")), "common")
+
+
+def prefix_groups(sig: DataFrame) -> DataFrame:
+    """(key, chunk, chunks, size, members): one row for the sets with the same prefix and size.
+
+    Only prefixes of several sets are left. ``members`` are (set_id, parity); the sets of a prefix that very many
+    share are cut into ``chunks`` by hash, so that a row has a bounded number of members.
+    """
+    postings, common = _lengthened(sig)
+    if common is None:
+        placed = postings.withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
+    else:
+        cut = common.select("key", F.ceil(F.col("sets") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+        placed = postings.join(cut, "key", "left").na.fill(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    groups = placed.repartition("key", "chunk").groupBy("key", "chunk", "chunks", "size").agg(F.collect_set(F.struct("set_id", "parity")).alias("members"))
+    together = F.sum(F.size("members")).over(Window.partitionBy("key", "chunk"))
+    return groups.withColumn("together", together).where("together > 1 or chunks > 1").drop("together")
+
+
+def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
+    """(set_a, set_b): the pairs of members of group pairs that sizes and parity maps allow, each once."""
+    groups = prefix_groups(sig)
+    # A group meets those of its own chunk in the cell (chunk, chunk) and those of another in (lower, higher).
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cells = groups.withColumn("other", other).select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "size", "members")
+    a, b = cells.alias("a"), cells.alias("b")
+    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "low", "high")]
+    first = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.chunk") <= F.col("b.chunk")))
+    apart = (F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.low") == F.col("a.high"))
+    near = F.col("a.size") >= F.lit(threshold) * F.col("b.size") - F.lit(1e-9)
+    pairs_of_groups = a.join(b, same_cell).where(first & apart & near).select(
+        F.col("a.size").alias("sa"), F.col("b.size").alias("sb"), (F.col("a.size") == F.col("b.size")).alias("equal"), (F.col("a.chunk") == F.col("b.chunk")).alias("one"), F.col("a.members").alias("ma"), F.col("b.members").alias("mb")
+    )
+    limit = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("sa") + F.col("sb")) + F.lit(1e-9))
+    expanded = pairs_of_groups.select("equal", "one", "mb", limit.alias("limit"), F.explode("ma").alias("x")).select("equal", "one", "limit", "x", F.explode("mb").alias("y"))
+    return (
+        expanded.where((~(F.col("equal") & F.col("one")) | (F.col("x.set_id") < F.col("y.set_id"))) & (F.col("x.set_id") != F.col("y.set_id")) & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= F.col("limit")))
+        .select(F.least("x.set_id", "y.set_id").alias("set_a"), F.greatest("x.set_id", "y.set_id").alias("set_b"))
         .distinct()
     )
-    pairs = materialize(pairs, "candidates")
+
+
+def class_pairs(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(set_a, set_b, similarity) of all different word sets that are at least ``threshold`` similar."""
+    pairs = materialize(candidate_pairs(sig, threshold), "candidates")
     wanted = pairs.select(F.col("set_a").alias("set_id")).union(pairs.select(F.col("set_b").alias("set_id"))).distinct()
-    heads = sig.select("set_id", "id").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id"))
+    heads = sig.where("id is not null").select("set_id", "id").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("id").alias("id"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = source.join(heads, "id").groupBy("set_id").agg(F.min("text").alias("text"))
     checked = with_texts(pairs, texts, "set_a", "set_b", "set_id").select("set_a", "set_b", jaccard(F.col("text_a"), F.col("text_b")).alias("similarity"))
@@ -96,7 +170,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float
     """
     sig = signed(docs, id_col, text_col, threshold, min_words)
     links = materialize(class_pairs(sig, docs, id_col, text_col, threshold).select("set_a", "set_b"), "links")
-    members = sig.select("id", "set_id").distinct()
+    members = members_of(sig)
     across = (
         links.join(members.select(F.col("id").alias("x"), F.col("set_id").alias("set_a")), "set_a")
         .join(members.select(F.col("id").alias("y"), F.col("set_id").alias("set_b")), "set_b")
@@ -117,7 +191,7 @@ def link_counts(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     """
     sig = signed(docs, id_col, text_col, threshold, min_words)
     links = materialize(class_pairs(sig, docs, id_col, text_col, threshold).select("set_a", "set_b"), "links")
-    members = sig.select("id", "set_id").distinct()
+    members = members_of(sig)
     classes = members.groupBy("set_id").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     both = links.union(links.select("set_b", "set_a")).toDF("set_id", "other")
     far = both.join(classes.select(F.col("set_id").alias("other"), "copies"), "other").groupBy("set_id").agg(F.sum("copies").alias("far"))

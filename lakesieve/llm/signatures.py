@@ -7,7 +7,7 @@ Every word becomes a 64-bit hash; everything below works on the flat array of th
 from __future__ import annotations
 
 import re
-from math import ceil, floor
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -76,34 +76,27 @@ def parity_map(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), _starts(counts))
 
 
-def most_differing(t: float, words_in_both_sizes: int) -> int:
-    """Most words in which two sets with that sum of sizes can differ at a Jaccard similarity >= t."""
-    total = words_in_both_sizes
-    return total - 2 * ceil(t / (1 + t) * total - 1e-9)
-
-
 class SizeClasses:
-    """Size classes for a self-join at threshold ``t``, with the number of token orders each one needs.
+    """Size classes for a self-join at threshold ``t``, with the most words that similar sets of a class differ in.
 
-    Class i holds the set sizes ``low[i] .. high[i]``. Two sets can be similar only if they are in one
-    class or in neighbouring ones; a set near its class's upper end also takes part in the next class.
-    In class i similar sets differ in fewer than ``orders[i]`` words.
+    Class i holds the set sizes ``low[i] .. high[i]``. Two sets can be similar only if they are in one class or in
+    neighbouring ones; a set near its class's upper end also takes part in the next class.
     """
 
     def __init__(self, t: float, least: int, growth: float = 1.3) -> None:
         self.t, self.least, self.growth = t, least, growth
         self.low: list[int] = [least]
         self.high: list[int] = [max(least, floor(least * growth))]
-        self.orders: list[int] = [self._orders(self.high[0])]
+        self.differ: list[int] = [self._differ(self.high[0])]
 
-    def _orders(self, high: int) -> int:
-        return floor((1 - self.t) / (1 + self.t) * 2 * high + 1e-9) + 1
+    def _differ(self, high: int) -> int:
+        return floor((1 - self.t) / (1 + self.t) * 2 * high + 1e-9)
 
     def reach(self, size: int) -> None:
         while self.high[-1] < size:
             self.low.append(self.high[-1] + 1)
             self.high.append(max(self.low[-1], floor(self.low[-1] * max(self.growth, 1 / self.t))))
-            self.orders.append(self._orders(self.high[-1]))
+            self.differ.append(self._differ(self.high[-1]))
 
     def reach_beyond(self, size: int) -> None:
         """Also the class after that of ``size``: its sets may be in other batches or tasks only."""
@@ -111,48 +104,88 @@ class SizeClasses:
         self.reach(self.high[-1] + 1 if self.low[-1] <= size else size)
 
 
-def order_keys(hashes: np.ndarray, counts: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix keys of every set: (flat int32 keys, number of keys of each set).
+class Prefixes:
+    """The prefixes of a batch of sets, one entry per (set, class it takes part in).
 
-    In class i the token universe is cut into ``orders[i]`` blocks by hash; order j lists block j first, and
-    a set's prefix in order j is its words of block j. Similar sets differ in fewer words than there are
-    blocks, so at least one of their prefixes coincides. A key hashes (class, order, prefix).
+    ``of``: the set's row; ``own``: whether the class is the set's own; ``keys`` and ``n_keys``: the flat 64-bit
+    prefix hashes and their number per entry; ``wide`` and ``n_wide``: the same of the 32-bit block hashes that
+    lengthen a prefix.
     """
+
+    def __init__(self, of: np.ndarray, own: np.ndarray, keys: np.ndarray, n_keys: np.ndarray, wide: np.ndarray, n_wide: np.ndarray) -> None:
+        self.of, self.own, self.keys, self.n_keys, self.wide, self.n_wide = of, own, keys, n_keys, wide, n_wide
+
+
+def _slot_sums(values: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of every slot, modulo 2^64."""
+    sums = np.zeros(n, dtype=np.uint64)
+    if len(slots):
+        by = np.argsort(slots, kind="stable")
+        s = slots[by]
+        heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        with np.errstate(over="ignore"):
+            sums[s[heads]] = np.add.reduceat(values[by], heads)
+    return sums
+
+
+def _tagged(sums: np.ndarray, classes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        tag = (classes.astype(np.uint64) * np.uint64(65_537) + number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return mix64(sums ^ tag)
+
+
+def prefixes(hashes: np.ndarray, counts: np.ndarray, classes: SizeClasses) -> Prefixes:
+    """Prefix keys of every set, in every class that it takes part in.
+
+    Similar sets of a class differ in at most d words. The token universe is cut by hash into (d + 1) // 2 double
+    blocks of three parts each and, if d is even, one single block: if every double block held two differing words
+    or more and the single one held one, they would be d + 1. So two similar sets agree in a single block, or in
+    two of three parts of a double block. A prefix of an order that lists one of these unions first is just that
+    union; its key hashes (class, order, words). The parts are sized so that all prefixes have about equal lengths.
+
+    ``wide`` cuts the universe anew into d + 1 blocks, of which similar sets share one: appending each of them to a
+    prefix gives longer prefixes that still find all similar sets.
+    """
+    none = np.zeros(0, np.int64)
     if not len(counts):
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return Prefixes(none, none.astype(bool), none, none, none.astype(np.int32), none)
     classes.reach_beyond(int(counts.max()))
-    low, high, orders = map(np.array, (classes.low, classes.high, classes.orders))
+    low, high, differ = map(np.array, (classes.low, classes.high, classes.differ))
     own = np.searchsorted(high, counts, side="left")
-    doc_of = np.repeat(np.arange(len(counts)), counts)
-    mixed = mix64(hashes)
-    nxt = own + 1
-    also = counts >= np.ceil(classes.t * low[nxt] - 1e-9)
-    parts_docs, parts_keys = [], []
-    for who, tag in ((np.ones(len(counts), bool), own), (also, nxt)):
-        docs = np.flatnonzero(who)
-        if not len(docs):
-            continue
-        m = np.where(who, orders[tag], 0)
-        first = np.concatenate(([0], np.cumsum(m)))
-        keep = who[doc_of]
-        block = ((hashes[keep] >> np.uint64(20)) % m[doc_of[keep]].astype(np.uint64)).astype(np.int64)
-        slot = first[doc_of[keep]] + block
-        sums = np.zeros(int(first[-1]), dtype=np.uint64)
-        by = np.argsort(slot, kind="stable")
-        s = slot[by]
-        if len(s):
-            heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            with np.errstate(over="ignore"):
-                sums[s[heads]] = np.add.reduceat(mixed[keep][by], heads)
-        slot_doc = np.repeat(np.arange(len(counts)), m)
-        order_no = np.arange(int(first[-1])) - first[slot_doc]
-        with np.errstate(over="ignore"):
-            salt = (tag[slot_doc].astype(np.uint64) * np.uint64(65_537) + order_no.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        parts_docs.append(slot_doc)
-        parts_keys.append((mix64(sums ^ salt) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    docs, keys = np.concatenate(parts_docs), np.concatenate(parts_keys)
-    by = np.argsort(docs, kind="stable")
-    return keys[by], np.bincount(docs, minlength=len(counts)).astype(np.int64)
+    also = counts >= np.ceil(classes.t * low[own + 1] - 1e-9)
+    of = np.concatenate([np.arange(len(counts)), np.flatnonzero(also)])
+    is_own = np.arange(len(of)) < len(counts)
+    cls = np.concatenate([own, own[also] + 1])
+    d = differ[cls]
+    double, single = (d + 1) // 2, (d + 1) % 2
+    # Words of every entry: the flat hashes of its set.
+    n = counts[of]
+    entry = np.repeat(np.arange(len(of)), n)
+    at = np.repeat(_starts(counts)[of], n) + (np.arange(len(entry)) - np.repeat(_starts(n), n))
+    h = hashes[at]
+    mixed = mix64(h)
+    unit = (h >> np.uint64(32)).astype(np.float64) / 2**32
+    place = np.minimum((unit * (3 * double + 2 * single)[entry]).astype(np.int64), (3 * double + 2 * single)[entry] - 1)
+    part = np.minimum(place, (3 * double)[entry])  # what is beyond the double blocks' parts is the single block
+    parts = 3 * double + single
+    first = _starts(parts)
+    sums = _slot_sums(mixed, first[entry] + part, int(parts.sum()))
+    keys = np.zeros(len(sums), np.uint64)
+    part_entry = np.repeat(np.arange(len(of)), parts)
+    number = np.arange(len(sums)) - first[part_entry]
+    within = number < 3 * double[part_entry]
+    mate = np.where(within, number - number % 3 + (number + 1) % 3, number)  # the next of the three parts
+    with np.errstate(over="ignore"):
+        keys = np.where(within, sums + sums[first[part_entry] + mate], sums)
+    keys = _tagged(keys, cls[part_entry], number)
+    blocks = d + 1
+    wide_first = _starts(blocks)
+    other = mix64(h ^ np.uint64(0xA5A5_5A5A_1234_8765))
+    slot = wide_first[entry] + (other >> np.uint64(20)).astype(np.int64) % blocks[entry]
+    wide_sums = _slot_sums(other, slot, int(blocks.sum()))
+    wide_entry = np.repeat(np.arange(len(of)), blocks)
+    wide = _tagged(wide_sums, cls[wide_entry], np.arange(len(wide_sums)) - wide_first[wide_entry])
+    return Prefixes(of, is_own, keys.view(np.int64), parts, (wide >> np.uint64(32)).astype(np.uint32).view(np.int32), blocks)
 
 
 def tree_labels(hashes: np.ndarray, counts: np.ndarray, trees: int, levels: int) -> np.ndarray:

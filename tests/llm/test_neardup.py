@@ -1,12 +1,13 @@
 """Near-duplicates and history against brute force."""
 
 import random
+from math import ceil
 
 import pytest
 
 from lakesieve.llm.history import BEFORE, HashForest, decide, replay, widest_depth
 from lakesieve.llm.neardup import link_counts, similar_pairs
-from lakesieve.llm.signatures import SizeClasses, most_differing, words_of
+from lakesieve.llm.signatures import SizeClasses, words_of
 
 
 def jaccard(a, b):
@@ -62,7 +63,7 @@ def test_size_classes_cover_all_pairs():
                     if j is None:
                         continue
                     assert j - i in (0, 1)
-                    assert most_differing(t, a + b) < c.orders[j]
+                    assert a + b - 2 * ceil(t / (1 + t) * (a + b) - 1e-9) <= c.differ[j]
                     assert j == i or a >= t * c.low[j] - 1e-9
 
 
@@ -77,6 +78,29 @@ def test_pairs_across_size_classes_and_partitions(spark):
     assert {tuple(r) for r in similar_pairs(apart, "doc", "body", 0.85, 8).collect()} == true and (10, 1010) in true
 
 
+def test_common_prefixes_are_lengthened_and_cut(spark, monkeypatch):
+    from lakesieve.llm import neardup
+
+    monkeypatch.setattr(neardup, "SAMPLE", 1)
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(120):  # edited copies of one template, most prefixes shared by many
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(40)] = f"x{rng.randint(0, 30)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc long, body string").repartition(5)
+    sig = neardup.signed(df, "doc", "body", 0.85, 8)
+    groups = neardup.prefix_groups(sig).collect()
+    assert max(r.chunks for r in groups) > 5 and max(len(r.members) for r in groups) < 20
+    sets = {i: words_of(t) for i, t in rows}
+    true = {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.85 - 1e-9}
+    assert {tuple(r) for r in similar_pairs(df, "doc", "body", 0.85, 8).collect()} == true
+
+
 def results(spark, seed, n=160, batches=6):
     rng = random.Random(seed)
     rows = []
