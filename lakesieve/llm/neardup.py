@@ -89,25 +89,32 @@ def members_of(sig: DataFrame) -> DataFrame:
     return sig.where("id is not null").select("id", "set_id").distinct()
 
 
-def _common(postings: DataFrame) -> DataFrame:
-    """(key, sets): an estimate of how many sets have a key, for the keys of more than HOT sets."""
-    some = postings.where(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("sets"))
-    return some.where(F.col("sets") > HOT)
+def _sampled(sig: DataFrame) -> DataFrame:
+    return sig.where((F.size("keys") > 0) & (F.pmod(F.xxhash64("set_id"), F.lit(SAMPLE)) == 0))
 
 
-def _lengthened(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(postings, (key, sets) of the keys that many sets share even when lengthened).
+def _common(keys: DataFrame) -> DataFrame:
+    """(key, sets): an estimate of how many sets have a key, for the keys of more than HOT sets. keys: those of the sampled sets."""
+    return materialize(keys.groupBy("key").agg((F.count("*") * SAMPLE).alias("sets")).where(F.col("sets") > HOT), "common")
 
-    postings: (key, set_id, size, parity). A key of many sets is replaced by one for each of the set's wide blocks.
-    """
-    base = sig.where(F.size("keys") > 0).select("set_id", "size", "parity", F.explode("keys").alias("key"))
-    common = materialize(_common(base.select("key", "set_id")), "common")
+
+def _postings(sig: DataFrame, common: DataFrame | None) -> DataFrame:
+    """(key, set_id, size, parity): a ``common`` key is replaced by one for each of the set's wide blocks."""
+    rows = sig.where(F.size("keys") > 0)
+    if common is None:
+        return rows.select("set_id", "size", "parity", F.explode("keys").alias("key"))
+    each = rows.select("set_id", "size", "parity", "wide", F.explode("keys").alias("key")).join(common, "key", "left")
+    longer = F.when(F.col("sets").isNotNull(), F.transform("wide", lambda w, i: F.xxhash64("key", i, w))).otherwise(F.array("key"))
+    return each.select("set_id", "size", "parity", F.explode(longer).alias("key"))
+
+
+def _lengthened(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(postings, (key, sets) of the keys that many sets share even when lengthened)."""
+    some = _sampled(sig)
+    common = _common(_postings(some, None).select("key"))
     if common.isEmpty():
-        return base, None
-    with_wide = sig.where(F.size("keys") > 0).select("set_id", "size", "parity", "wide", F.explode("keys").alias("key")).join(common, "key", "left")
-    block = F.when(F.col("sets").isNotNull(), F.transform("wide", lambda w, i: F.xxhash64("key", i, w))).otherwise(F.array("key"))
-    postings = materialize(with_wide.select("set_id", "size", "parity", F.explode(block).alias("key")), "postings")
-    return postings, materialize(_common(postings.select("key", "set_id")), "common")
+        return _postings(sig, None), None
+    return _postings(sig, common), _common(_postings(some, common).select("key"))
 
 
 def prefix_groups(sig: DataFrame) -> DataFrame:
