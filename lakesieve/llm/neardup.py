@@ -2,9 +2,9 @@
 
 Method. Documents with the same word set collapse into one set. Every set gets prefixes under several token orders
 (``signatures.prefixes``), so that similar sets share at least one whole prefix. Sets with an identical prefix and
-an identical size form one group, a row (key, size, members). Pairs of groups with the same prefix are filtered by
-their sizes; those that are left are expanded to pairs of members, filtered by the parity maps of the word sets and
-verified on the words themselves.
+an identical size form one group. Pairs of groups with the same prefix are filtered by their sizes; those that are
+left are expanded to pairs of members, filtered by the parity maps of the word sets and verified on the words
+themselves.
 
 Why several orders and not one rarest-first prefix: on a bounded vocabulary even the rarest words of a text are
 frequent, so one order's candidates grow with the square of the corpus at once. A whole prefix of about seven words
@@ -21,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesieve.llm import signatures as S
 from lakesieve.llm.verify import jaccard, with_texts
 from lakesieve.session import materialize
 
-_SCHEMA = "id long, set_id long, size int, parity long, keys array<long>, wide array<int>"
+_SCHEMA = "id long, set_id long, size int, parity int, keys array<long>, wide array<int>"
 #: One set in SAMPLE tells how many have a prefix; prefixes of more than HOT sets are lengthened; members of a chunk.
 SAMPLE, HOT, CHUNK = 8, 32, 512
 
@@ -45,7 +45,7 @@ def _signer(threshold: float, min_words: int):
             counts = counts[enough]
             ids = batch.column(0).filter(pa.array(enough))
             set_ids = S.set_hash(hashes, counts).view(np.int64)
-            parity = S.parity_map(hashes, counts).view(np.int64)
+            parity = S.parity_map(hashes, counts, 32).astype(np.uint32).view(np.int32)
             # A set needs its keys once per task: repeated copies send their membership only.
             if len(seen) > S.CACHE_WORDS:
                 seen.clear()
@@ -117,27 +117,74 @@ def _lengthened(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return _postings(sig, common), _common(_postings(some, common).select("key"))
 
 
-def prefix_groups(sig: DataFrame) -> DataFrame:
-    """(key, chunk, chunks, size, members): one row for the sets with the same prefix and size.
+def _expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): the values first .. first + count - 1 of every row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.repeat(first, count) + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+
+
+def group_pairs(key: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, ...]:
+    """(start, count, left, right) of rows sorted by key and size: the groups of equal key and size, and the pairs of
+    groups (also of one of several members with itself) of one key whose sizes a similarity of ``t`` allows."""
+    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (size[1:] != size[:-1]))))
+    count = np.diff(np.append(start, len(key)))
+    keys, sizes = key[start], size[start]
+    end = np.searchsorted(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), np.arange(len(keys)), side="right")
+    ends = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))[end]
+    left, right = _expanded(np.arange(len(keys)), ends - np.arange(len(keys)))
+    near = (sizes[left] >= t * sizes[right] - 1e-9) & ((left != right) | (count[left] > 1))
+    return start, count, left[near], right[near]
+
+
+#: Pairs of members that a task expands at a time.
+AT_ONCE = 1 << 20
+
+
+def _paired(threshold: float):
+    """Rows (key, size, set_id, parity), sorted, to (set_a, set_b) of the pairs of one prefix."""
+
+    def pairs(key: np.ndarray, size: np.ndarray, sid: np.ndarray, par: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))  # a set may come from several tasks
+        key, size, sid, par = key[fresh], size[fresh], sid[fresh], par[fresh]
+        start, count, left, right = group_pairs(key, size, threshold)
+        many = count[left] * count[right]
+        at = 0
+        while at < len(left):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), AT_ONCE, side="right")) + at)
+            row, cell = _expanded(np.zeros(upto - at, np.int64), many[at:upto])
+            i, j = left[at:upto][row], right[at:upto][row]
+            x, y = start[i] + cell // count[j], start[j] + cell % count[j]
+            most = np.floor((1 - threshold) / (1 + threshold) * (size[x] + size[y]) + 1e-9)
+            good = (x < y) & (np.bitwise_count((par[x] ^ par[y]).view(np.uint32)) <= most)
+            yield sid[x[good]], sid[y[good]]
+            at = upto
 
-    Only prefixes of several sets are left. ``members`` are (set_id, parity); the sets of a prefix that very many
-    share are cut into ``chunks`` by hash, so that a row has a bounded number of members.
-    """
-    postings, common = _lengthened(sig)
-    if common is None:
-        placed = postings.withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
-    else:
-        cut = common.select("key", F.ceil(F.col("sets") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-        placed = postings.join(cut, "key", "left").na.fill(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
-    groups = placed.repartition("key", "chunk").groupBy("key", "chunk", "chunks", "size").agg(F.collect_set(F.struct("set_id", "parity")).alias("members"))
-    together = F.sum(F.size("members")).over(Window.partitionBy("key", "chunk"))
-    return groups.withColumn("together", together).where("together > 1 or chunks > 1").drop("together")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
+            open_ = int(np.searchsorted(now[0], now[0][-1], side="left"))  # the last prefix may go on in the next batch
+            rest = [c[open_:] for c in now]
+            if open_:
+                for x, y in pairs(*(c[:open_] for c in now)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["set_a", "set_b"])
+        if len(rest[0]):
+            for x, y in pairs(*rest):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["set_a", "set_b"])
+
+    return run
 
 
-def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
-    """(set_a, set_b): the pairs of members of group pairs that sizes and parity maps allow, each once."""
-    groups = prefix_groups(sig)
-    # A group meets those of its own chunk in the cell (chunk, chunk) and those of another in (lower, higher).
+def chunk_groups(placed: DataFrame) -> DataFrame:
+    """(key, chunk, chunks, size, members): one row for the sets of a chunk with the same prefix and size."""
+    return placed.groupBy("key", "chunk", "chunks", "size").agg(F.collect_set(F.struct("set_id", "parity")).alias("members"))
+
+
+def _pairs_across_chunks(groups: DataFrame, threshold: float) -> DataFrame:
+    """(set_a, set_b) of prefixes in chunks: a group meets those of its own chunk in the cell (chunk, chunk) and
+    those of another in the cell (lower, higher)."""
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = groups.withColumn("other", other).select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "size", "members")
     a, b = cells.alias("a"), cells.alias("b")
@@ -146,15 +193,30 @@ def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
     apart = (F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.low") == F.col("a.high"))
     near = F.col("a.size") >= F.lit(threshold) * F.col("b.size") - F.lit(1e-9)
     pairs_of_groups = a.join(b, same_cell).where(first & apart & near).select(
-        F.col("a.size").alias("sa"), F.col("b.size").alias("sb"), (F.col("a.size") == F.col("b.size")).alias("equal"), (F.col("a.chunk") == F.col("b.chunk")).alias("one"), F.col("a.members").alias("ma"), F.col("b.members").alias("mb")
+        (F.col("a.size") + F.col("b.size")).alias("sizes"), ((F.col("a.size") == F.col("b.size")) & (F.col("a.chunk") == F.col("b.chunk"))).alias("one"), F.col("a.members").alias("ma"), F.col("b.members").alias("mb")
     )
-    limit = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("sa") + F.col("sb")) + F.lit(1e-9))
-    expanded = pairs_of_groups.select("equal", "one", "mb", limit.alias("limit"), F.explode("ma").alias("x")).select("equal", "one", "limit", "x", F.explode("mb").alias("y"))
-    return (
-        expanded.where((~(F.col("equal") & F.col("one")) | (F.col("x.set_id") < F.col("y.set_id"))) & (F.col("x.set_id") != F.col("y.set_id")) & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= F.col("limit")))
-        .select(F.least("x.set_id", "y.set_id").alias("set_a"), F.greatest("x.set_id", "y.set_id").alias("set_b"))
-        .distinct()
-    )
+    limit = F.floor(F.lit((1 - threshold) / (1 + threshold)) * F.col("sizes") + F.lit(1e-9))
+    expanded = pairs_of_groups.select("one", "mb", limit.alias("limit"), F.explode("ma").alias("x")).select("one", "limit", "x", F.explode("mb").alias("y"))
+    good = (~F.col("one") | (F.col("x.set_id") < F.col("y.set_id"))) & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= F.col("limit"))
+    return expanded.where(good).select(F.least("x.set_id", "y.set_id").alias("set_a"), F.greatest("x.set_id", "y.set_id").alias("set_b"))
+
+
+def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
+    """(set_a, set_b): the pairs of members of group pairs that sizes and parity maps allow, each once.
+
+    Sets with one prefix lie side by side, sorted by size, so groups are runs of rows. A prefix that very many sets
+    share even when lengthened is cut into chunks by hash, whose groups are rows that meet in cells.
+    """
+    postings, common = _lengthened(sig)
+    columns = ["key", "size", "set_id", "parity"]
+    cut = None if common is None else common.select("key", F.ceil(F.col("sets") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    few = postings if cut is None else postings.join(cut, "key", "left_anti")
+    together = few.select(*columns).repartition("key").sortWithinPartitions("key", "size", "set_id")
+    pairs = together.select(F.col("key"), F.col("size").cast("long"), "set_id", "parity").mapInArrow(_paired(threshold), "set_a long, set_b long")
+    if cut is not None and not cut.isEmpty():
+        placed = postings.join(cut, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+        pairs = pairs.unionByName(_pairs_across_chunks(chunk_groups(placed), threshold))
+    return pairs.distinct()
 
 
 def class_pairs(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:

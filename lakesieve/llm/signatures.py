@@ -67,13 +67,13 @@ def set_hash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return mix64(np.add.reduceat(mix64(hashes), _starts(counts)) + counts.astype(np.uint64))
 
 
-def parity_map(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """64-bit parity map of each set: every word flips one bit.
+def parity_map(hashes: np.ndarray, counts: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Parity map of ``bits`` bits (a power of two up to 64) of each set: every word flips one bit.
 
     Two sets whose symmetric difference has d words have maps that differ in at most d bits, so the
     popcount of the xor bounds the difference from below without the words. All counts must be positive.
     """
-    return np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), _starts(counts))
+    return np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(bits - 1)), _starts(counts))
 
 
 class SizeClasses:
