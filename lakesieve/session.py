@@ -65,6 +65,12 @@ def drop_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared file system, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
