@@ -188,27 +188,30 @@ def prefixes(hashes: np.ndarray, counts: np.ndarray, classes: SizeClasses) -> Pr
     return Prefixes(of, is_own, keys.view(np.int64), parts, (wide >> np.uint64(32)).astype(np.uint32).view(np.int32), blocks)
 
 
-def tree_labels(hashes: np.ndarray, counts: np.ndarray, trees: int, levels: int) -> np.ndarray:
-    """Labels of a hash forest: uint64 [sets, trees], each ``levels`` minimum hashes of 64 / levels bits.
+def tree_labels(hashes: np.ndarray, counts: np.ndarray, trees: int, levels: int, first_bits: int, more_bits: int, group: np.ndarray) -> np.ndarray:
+    """Labels of a hash forest: non-negative uint64 [sets, trees].
 
-    The first minimum hash is in the highest bits, so sets that agree in their first d hashes are
+    The highest ``first_bits`` bits hash the set's ``group``, the tree and the first minimum hash, then come
+    ``more_bits`` bits of every further one: sets of a group that agree in their first d minimum hashes are
     neighbours in the sorted order of the labels.
     """
-    n, bits = len(counts), 64 // levels
+    n = len(counts)
     labels = np.zeros((n, trees), dtype=np.uint64)
     if not n:
         return labels
     starts = _starts(counts)
     rng = np.random.default_rng(20_177)
-    low = np.uint64((1 << bits) - 1)
     for tree in range(trees):
         for level in range(levels):
             odd, add = rng.integers(1, 2**63, size=2, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 x = (hashes ^ add) * (odd | np.uint64(1))
                 x ^= x >> np.uint64(29)
-            least = np.minimum.reduceat(x, starts)
-            labels[:, tree] |= (mix64(least) & low) << np.uint64(bits * (levels - 1 - level))
+                least = mix64(np.minimum.reduceat(x, starts))
+                if level == 0:
+                    labels[:, tree] = mix64(least ^ (group + np.uint64(tree + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - first_bits)
+                else:
+                    labels[:, tree] = (labels[:, tree] << np.uint64(more_bits)) | (least >> np.uint64(64 - more_bits))
     return labels
 
 

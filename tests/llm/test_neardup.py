@@ -5,7 +5,8 @@ from math import ceil
 
 import pytest
 
-from lakesieve.llm.history import BEFORE, HashForest, decide, replay, widest_depth
+from lakesieve.llm import history
+from lakesieve.llm.history import BEFORE, HashForest, replay, widest_depth
 from lakesieve.llm.neardup import link_counts, similar_pairs
 from lakesieve.llm.signatures import SizeClasses, words_of
 
@@ -150,7 +151,24 @@ def test_replay_empty(spark):
     assert replay(df, None).count() == 0
 
 
-def test_decide_chains(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 4)], "x long, y long")
-    assert sorted(r[0] for r in decide(links).collect()) == [2, 4]  # 2 repeats 1, so it is no history for 3
+def test_chains_and_depth(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts_ = [" ".join(words), " ".join([*words[3:], "a", "b", "c"]), " ".join([*words[6:], "a", "b", "c", "d", "e", "f"])]
+    rows = [(i, "t", i + 1, None, t) for i, t in enumerate(texts_)]
+    df = spark.createDataFrame(rows, "request_id long, tenant string, batch_no int, fingerprint string, normalized string")
+    assert {r[0] for r in replay(df, None).collect()} == brute_force(rows, []) == {1}  # 1 repeats 0, so it is no history for 2
     assert widest_depth(0.85, 8, 4, 0.999) == 3 and BEFORE < 0
+
+
+def test_hot_history_is_searched_in_full(spark, monkeypatch):
+    monkeypatch.setattr(history, "AT_FIRST", 2)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(80):  # copies of one template with edits, most of them in the first batch
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(30)] = f"x{rng.randint(0, 400)}"
+        rows.append((i, "t", 1 if i < 50 else 2 + i % 3, None, " ".join(w)))
+    df = spark.createDataFrame(rows, "request_id long, tenant string, batch_no int, fingerprint string, normalized string")
+    assert {r[0] for r in replay(df, None).collect()} == brute_force(rows, [])
