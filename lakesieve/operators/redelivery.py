@@ -1,24 +1,35 @@
 """Messages delivered more than once: exactly one delivery of each message stays (problem 3).
 
-Method. Deliveries are bucketed by the day of their arrival. Every bucket has a Bloom filter over the
-identifiers in it, blocked into 64-bit registers and stored as a table (bucket, register, bits, hits): a
-delivery sets a few bits of one register. An identifier is definitely new if no other bucket's register holds
-all of its bits and no other delivery hit its register in its own bucket. Only the others, possible repeats,
-are compared exactly, and only with deliveries that share their register, so nothing but matching buckets is
-read again. The filter is built and probed by equi-joins on the register; it is never collected or broadcast.
+Method. The log stores the kept delivery of every message by the day of its arrival, sorted by the hash of its
+identifier, and for every day a Bloom filter of about two bytes an identifier, cut into ranges of hashes and sized
+by the day's count. A batch is reduced to the first delivery of each of its messages; a task takes ranges of hashes
+and probes the days' filters: an identifier that no filter has is definitely new. Only the others, possible repeats,
+are compared exactly, with the row groups of just those days whose filter has them. Nothing stored is shuffled.
+
+Batches may bring an earlier delivery of a stored message; then the new one is kept and the stored one is a repeat
+after all. When there are many batches they are merged into one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesieve.session import materialize, scratch_path
+from lakesieve.session import remove_path, scratch_path
+from lakesieve.sources.sorted_files import SortedFiles
 
 #: White space that an identifier is stripped of: the blanks of Unicode and the line ends.
 BLANKS = "[\\s\\u000B\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
-#: Registers per delivery of the largest bucket, bits per identifier, and the copies that a hot message is spread over.
-SPARSITY, BITS, SALTS = 8, 4, 16
+#: Ranges of hashes that days' filters are cut into; bits of a filter per identifier; bits that one sets in a block.
+RANGES, BITS_EACH, HASHES = 64, 16, 7
+_BLOCK_BITS = 512
+#: Bytes of a row group of the stored identifiers.
+ROW_GROUP = 1 << 20
+_KEPT = "h long, key string, at long, delivery_id long, instead_of long, day int, part int"
 
 
 def strip_blanks(c: Column) -> Column:
@@ -27,7 +38,7 @@ def strip_blanks(c: Column) -> Column:
 
 
 def message_key(tenant: Column, event_id: Column, fingerprint: Column, sent_at: Column) -> Column:
-    """What makes deliveries one message, as a struct without nulls (so that it joins by equality).
+    """What makes deliveries one message, as a text.
 
     The stripped event id with the tenant; without an event id the fingerprint and the time of sending.
     A missing tenant, fingerprint or time equals another missing one.
@@ -35,84 +46,189 @@ def message_key(tenant: Column, event_id: Column, fingerprint: Column, sent_at:
     ident = strip_blanks(event_id)
     has = ident.isNotNull() & (ident != "")
     text = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    return F.struct(text(tenant).alias("tenant"), F.when(has, ident).otherwise(F.lit("")).alias("ident"), F.when(has, F.lit("")).otherwise(F.concat_ws("\x01", text(fingerprint), text(sent_at))).alias("body"))
+    return F.concat_ws("\x01", text(tenant), F.when(has, ident).otherwise(F.lit("")), F.when(has, F.lit("")).otherwise(F.concat_ws("\x02", text(fingerprint), text(sent_at))))
 
 
 def keyed(deliveries: DataFrame) -> DataFrame:
-    """(delivery_id, received_at, bucket, key, h) of every delivery with an id."""
-    rows = deliveries.where("delivery_id is not null").select(
-        "delivery_id", F.coalesce("received_at", F.lit("9999-12-31").cast("timestamp_ntz").cast(deliveries.schema["received_at"].dataType)).alias("received_at"),
-        message_key(F.col("tenant"), F.col("event_id"), F.col("fingerprint"), F.col("sent_at")).alias("key"),
-    )
-    return rows.withColumn("bucket", F.to_date("received_at")).withColumn("h", F.xxhash64("key"))
-
-
-def _registers(rows: DataFrame) -> int:
-    """Registers of every bucket's filter: a power of two, SPARSITY times the largest bucket."""
-    most = rows.groupBy("bucket").count().agg(F.max("count")).first()[0] or 1
-    return 1 << max(10, (SPARSITY * most - 1).bit_length())
-
-
-def _placed(rows: DataFrame, registers: int) -> DataFrame:
-    bits = F.lit(0).cast("long")
-    for i in range(BITS):
-        bits = bits.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {58 - 6 * i}) & 63 as int))"))
-    return rows.withColumn("register", F.col("h").bitwiseAND(F.lit(registers - 1))).withColumn("bits", bits)
-
-
-def bucket_filters(placed: DataFrame) -> DataFrame:
-    """(register, bucket, word, hits): the Bloom filter of every bucket."""
-    return placed.groupBy("register", "bucket").agg(F.bit_or("bits").alias("word"), F.count("*").alias("hits"))
-
-
-def possible_repeats(placed: DataFrame) -> DataFrame:
-    """The deliveries that the filters can't rule out as repeats."""
-    filters = bucket_filters(placed)
-    by_register = filters.groupBy("register").agg(F.collect_list(F.struct("bucket", "word", "hits")).alias("filters"), F.sum("hits").alias("total")).where("total > 1").drop("total")
-    maybe = F.exists("filters", lambda f: F.when(f["bucket"] == F.col("bucket"), f["hits"] > 1).otherwise(f["word"].bitwiseAND(F.col("bits")) == F.col("bits")))
-    return placed.join(by_register, "register").where(maybe)
-
-
-def repeated_deliveries(deliveries: DataFrame) -> DataFrame:
-    """``delivery_id`` of every delivery except the one to keep of each message.
-
-    Kept is the earliest ``received_at`` (a missing one is the latest), then the smallest ``delivery_id``. Rows
-    without delivery id are ignored; rows that repeat a delivery id count once. A message that holds a large
-    share of all rows is reduced to its first delivery before the shuffle and compared in SALTS parts.
-    """
-    rows = keyed(deliveries)
-    suspects = materialize(possible_repeats(_placed(rows, _registers(rows))).select("delivery_id", "received_at", "key", "h"), "suspects")
-    first = suspects.groupBy("h", "key").agg(F.min(F.struct("received_at", "delivery_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    spread = first.select("h", "key", F.col("first.delivery_id").alias("kept"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = suspects.withColumn("salt", F.pmod(F.hash("delivery_id"), F.lit(SALTS)))
-    return salted.join(spread, ["h", "salt", "key"]).where("delivery_id <> kept").select("delivery_id").distinct()
+    """(h, key, at, delivery_id) of every delivery with an id; ``at`` are microseconds, a missing time is the latest."""
+    at = F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit((1 << 62) - 1))
+    return deliveries.where("delivery_id is not null").select(
+        message_key(F.col("tenant"), F.col("event_id"), F.col("fingerprint"), F.col("sent_at")).alias("key"), at.alias("at"), F.col("delivery_id").cast("long").alias("delivery_id")
+    ).withColumn("h", F.xxhash64("key"))
+
+
+def _part(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).cast("int")
+
+
+def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, bits): the block of every hash and its bits there, [hashes, HASHES]."""
+    with np.errstate(over="ignore"):
+        u = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        u ^= u >> np.uint64(29)
+        block = ((u >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+        v = (u * np.uint64(0xBF58476D1CE4E5B9)) ^ (u >> np.uint64(17))
+        bits = np.stack([(v >> np.uint64(9 * i)) & np.uint64(_BLOCK_BITS - 1) for i in range(HASHES)], 1).astype(np.int64)
+    return block, bits
+
+
+def bloom_filter(h: np.ndarray) -> bytes:
+    """The filter of some hashes: blocks of 512 bits, BITS_EACH bits a hash."""
+    blocks = max(1, -(-len(h) * BITS_EACH // _BLOCK_BITS))
+    block, bits = _bits(h, blocks)
+    flags = np.zeros(blocks * _BLOCK_BITS, dtype=bool)
+    flags[(block[:, None] * _BLOCK_BITS + bits).ravel()] = True
+    return np.packbits(flags).tobytes()
+
+
+def may_hold(filter_: bytes, h: np.ndarray) -> np.ndarray:
+    """Whether a filter can hold each hash; never false for one that was put in."""
+    raw = np.frombuffer(filter_, dtype=np.uint8)
+    block, bits = _bits(h, len(raw) * 8 // _BLOCK_BITS)
+    at = block[:, None] * _BLOCK_BITS + bits
+    return ((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """One table for every run of equal values of ``column``."""
+    open_: list[pa.RecordBatch] = []
+    for batch in batches:
+        v = batch.column(column).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist() if len(v) else []
+        for a, b in zip(cuts, [*cuts[1:], len(v)], strict=True):
+            if open_ and open_[-1].column(column)[0].as_py() != v[a]:
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(batch.slice(a, b - a))
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def _probed(runs: list[str]):
+    """First deliveries of a batch, sorted by part, to those that are kept, with the stored ones they displace."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _parts(batches, 6):
+            part = table.column(6)[0].as_py()
+            h, keys = table.column(0).to_numpy(), table.column(1).to_pylist()
+            at, ids = table.column(2).to_pylist(), table.column(3).to_pylist()
+            best: dict[int, tuple[int, int]] = {}
+            for path in runs:
+                for filters in SortedFiles(f"{path}/filters").read(np.array([part]), ["part", "day", "bits"]):
+                    for row in filters.to_pylist():
+                        if row["part"] != part:
+                            continue
+                        hit = np.flatnonzero(may_hold(row["bits"], h))
+                        if not len(hit):
+                            continue
+                        by = hit[np.argsort(h[hit], kind="stable")]
+                        wanted = h[by]
+                        for stored in SortedFiles(f"{path}/ids/day={row['day']}").read(wanted, ["h", "key", "at", "delivery_id"]):
+                            sh = stored.column(0).to_numpy()
+                            for j in np.flatnonzero(np.isin(sh, wanted)).tolist():
+                                first, last = np.searchsorted(wanted, sh[j], side="left"), np.searchsorted(wanted, sh[j], side="right")
+                                key = stored.column(1)[j].as_py()
+                                for i in by[first:last].tolist():
+                                    if keys[i] == key:
+                                        old = (stored.column(2)[j].as_py(), stored.column(3)[j].as_py())
+                                        best[i] = min(best.get(i, old), old)
+            kept = np.array([i not in best or (at[i], ids[i]) < best[i] for i in range(len(ids))], dtype=bool)
+            instead = pa.array([best[i][1] if i in best else None for i in range(len(ids))], pa.int64())
+            rows = pa.table([*(table.column(i) for i in range(4)), instead, table.column(5), table.column(6)], ["h", "key", "at", "delivery_id", "instead_of", "day", "part"])
+            yield from rows.filter(pa.array(kept)).to_batches()
+
+    return run
+
+
+def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, day, h), sorted, to the filters (part, day, ids, bits)."""
+    for part in _parts(batches, 0):
+        for day in _parts(iter(part.combine_chunks().to_batches()), 1):
+            h = day.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([day.column(0).slice(0, 1).combine_chunks(), day.column(1).slice(0, 1).combine_chunks(), pa.array([len(h)]), pa.array([bloom_filter(h)])], ["part", "day", "ids", "bits"])
 
 
 class DeliveryLog:
-    """Stored identifiers by day with a Bloom filter per day, for batches that arrive one after another.
+    """Stored identifiers by day with Bloom filters, for batches that arrive one after another.
 
-    ``accept`` returns the repeats of a batch. Only buckets whose filter matches are read for the exact check.
-    Order of arrival is the order of the batches: what an earlier batch kept stays kept.
+    ``path`` gets one folder a batch: ``ids`` (by day, sorted by hash: the deliveries that were kept, with the stored
+    ones they displaced) and ``filters``.
     """
 
-    def __init__(self, spark: SparkSession, registers: int = 1 << 16, path: str | None = None) -> None:
-        self.spark, self.registers = spark, registers
+    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = 16) -> None:
+        self.spark, self.most_runs = spark, most_runs
         self.path = path or scratch_path(spark, "deliveries")
-        self.batches = 0
+        self.runs: list[str] = []
+        self._made = 0
+
+    def _store(self, kept: DataFrame) -> str:
+        self._made += 1
+        run = f"{self.path}/run-{self._made}"
+        kept.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("day").parquet(f"{run}/ids")
+        stored = self.spark.read.schema(_KEPT).parquet(f"{run}/ids")
+        spread = stored.select("part", "day", "h").repartition("part").sortWithinPartitions("part", "day")
+        spread.mapInArrow(_filtered, "part int, day int, ids long, bits binary").write.parquet(f"{run}/filters")
+        return run
+
+    def add(self, batch: DataFrame) -> None:
+        """Take in a batch. A message of many deliveries is reduced to its first one before the shuffle."""
+        first = keyed(batch).groupBy("h", "key").agg(F.min(F.struct("at", "delivery_id")).alias("f")).select("h", "key", "f.at", "f.delivery_id")
+        day = F.floor(F.col("at") / 86_400_000_000).cast("int")
+        placed = first.select("h", "key", "at", "delivery_id", F.lit(None).cast("long").alias("instead_of"), day.alias("day"), _part(F.col("h")).alias("part"))
+        placed = placed.repartition("part").sortWithinPartitions("part")
+        kept = placed.mapInArrow(_probed(list(self.runs)), _KEPT).sortWithinPartitions("day", "h")
+        self.runs.append(self._store(kept))
+        if len(self.runs) > self.most_runs:
+            self.merge_runs()
+
+    def _ids(self) -> DataFrame:
+        parts = [self.spark.read.schema(_KEPT).parquet(f"{r}/ids") for r in self.runs]
+        ids = parts[0]
+        for p in parts[1:]:
+            ids = ids.unionByName(p)
+        return ids
+
+    def kept(self) -> DataFrame:
+        """(delivery_id) of the one delivery of every message that stays."""
+        ids = self._ids()
+        gone = ids.where("instead_of is not null").select(F.col("instead_of").alias("delivery_id"))
+        return ids.select("delivery_id").join(gone, "delivery_id", "left_anti")
 
     def accept(self, batch: DataFrame) -> DataFrame:
-        placed = materialize(_placed(keyed(batch), self.registers), "batch")
-        first = placed.groupBy("h", "key").agg(F.min(F.struct("received_at", "delivery_id", "bucket", "register", "bits")).alias("f"))
-        fresh = materialize(first.select("h", "key", "f.*"), "fresh")
-        if self.batches:
-            filters = self.spark.read.parquet(f"{self.path}/filters")
-            hit = fresh.alias("a").join(filters.alias("f"), "register").where(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"))
-            suspects = materialize(hit.select("h", "key", F.col("f.bucket").alias("stored_in")).distinct(), "suspects")
-            days = [r[0] for r in suspects.select("stored_in").distinct().collect()]  # as many as days are stored
-            stored = self.spark.read.parquet(f"{self.path}/ids").where(F.col("bucket").isin(days) if days else F.lit(False))
-            known = materialize(stored.join(suspects, ["h", "key"], "left_semi").select("h", "key").distinct(), "known")
-            fresh = materialize(fresh.join(known, ["h", "key"], "left_anti"), "kept")
-        fresh.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/ids")
-        bucket_filters(fresh).select("register", "bucket", "word").write.mode("append").parquet(f"{self.path}/filters")
-        self.batches += 1
-        return placed.join(fresh.select("delivery_id"), "delivery_id", "left_anti").select("delivery_id").distinct()
+        """(delivery_id) of the batch's deliveries that do not stay, and of stored ones that a delivery of the batch displaces."""
+        before = len(self.runs)
+        self.add(batch)
+        mine = batch.where("delivery_id is not null").select(F.col("delivery_id").cast("long").alias("delivery_id")).distinct()
+        fresh = mine.join(self.kept(), "delivery_id", "left_anti")
+        if not before:
+            return fresh
+        last = self.spark.read.schema(_KEPT).parquet(f"{self.runs[-1]}/ids")
+        return fresh.union(last.where("instead_of is not null").select("instead_of")).distinct()
+
+    def merge_runs(self) -> None:
+        """Merge all batches into one, without displaced deliveries."""
+        ids, old = self._ids(), self.runs
+        gone = ids.where("instead_of is not null").select(F.col("instead_of").alias("delivery_id")).distinct()
+        left = ids.join(gone, "delivery_id", "left_anti").withColumn("instead_of", F.lit(None).cast("long"))
+        self.runs = [self._store(left.select(*ids.columns).repartition("part").sortWithinPartitions("day", "h"))]
+        for r in old:
+            remove_path(self.spark, r)
+
+
+def repeated_deliveries(deliveries: DataFrame, most_runs: int = 16) -> DataFrame:
+    """``delivery_id`` of every delivery except the one to keep of each message.
+
+    The batches (``batch_no``, where there is such a column; a missing number comes first) go through a ``DeliveryLog``
+    one after another. Kept is the earliest ``received_at`` (a missing one is the latest), then the smallest
+    ``delivery_id``, over all batches. Rows without delivery id are ignored; rows that repeat a delivery id count once.
+    """
+    spark = deliveries.sparkSession
+    log = DeliveryLog(spark, most_runs=most_runs)
+    if "batch_no" in deliveries.columns:
+        number = F.coalesce(F.col("batch_no").cast("long"), F.lit(-(1 << 62)))
+        for b in sorted(r[0] for r in deliveries.select(number).distinct().collect()):  # as many as there are batches
+            log.add(deliveries.where(number == b))
+    else:
+        log.add(deliveries)
+    ids = deliveries.where("delivery_id is not null").select(F.col("delivery_id").cast("long").alias("delivery_id")).distinct()
+    return ids.join(log.kept(), "delivery_id", "left_anti") if log.runs else ids
