@@ -1,12 +1,17 @@
 """Problem 8: text cut off by field limits or in transfer.
 
-Method. A self-join by prefix: values are joined on hashes of fixed-length prefixes, and a value that is a
-strict prefix of a longer copy elsewhere that goes on in the same line is cut, whatever its last unit is. Whole
-documents rarely have a longer copy; the others are judged by their last units: the last word of prose, the last
-cell of a row, the end of a log line, the last line of a form, mail or program. For prose, code, forms and logs
-the frequency decides with which such a unit closes complete ones elsewhere; the prefix join of units adds to it
-for mail, headings and cells that are not numbers only. Ends that can be judged by themselves (a terminated sentence, JSON that
-parses, an unfinished character) are settled before the join.
+Method. A self-join by prefix, on whole values and on the units that texts are made of. A value or unit that is a
+strict prefix of a longer one elsewhere, which goes on in the same line, is unfinished:
+
+* whole documents, joined on hashes of fixed-length prefixes, doubling (``prefix_values``);
+* the last sentence or line of every text whose end is open, joined with all sentences and lines on the hash of its
+  whole length (``longer_sentences``);
+* its last word, joined with all longer words (``extended``);
+* its last word as the beginning of what is left of a sentence: how often it goes on there, and how often it closes
+  one (``closing_units``); the same for the last cells of rows, ends of log lines, and last lines of forms and mails.
+
+The first of these that tells something decides (``evidence`` names it). Ends that show by themselves (a terminated
+sentence, JSON that parses, an unfinished character, a short row) are settled before the join.
 
 Length limits are learned per source from all documents: a limit is the source's largest length, in characters
 or bytes, if several documents share it. At a limit also a text that a trailing "..." was put on is cut.
@@ -20,6 +25,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lakesieve.session import materialize
 
-#: Lengths of the hashed prefixes of whole values: from LEAST_PREFIX on, doubling.
-LEAST_PREFIX = 32
+#: Bits of the screens that tell which prefixes are asked for; their size is fixed, a full screen only lets more pass.
+SCREEN_BITS = 1 << 22
 #: Documents that must share a source's largest length for it to be a limit.
 LIMIT_DOCS = 3
 #: Keys a task counts before it hands them on.
@@ -36,6 +42,7 @@ MOST_KEYS = 200_000
 #: Blanks of a text for Spark, and how a longer copy goes on after an unfinished word, sentence or row.
 _BLANK = r"[\s\u0085   -     　]"
 _GOES_ON = r"^(?:[^ \n\p{So}\p{Cf}]| [\p{L}\p{N}])"
+_GOES_ON_PY = r"\w| \w"
 _END = ".!?。！？…।؟"
 _CLOSERS = "\"'»”’)]}›」』*_`"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -52,10 +59,34 @@ def clean(text: str) -> str:
     return unicodedata.normalize("NFC", text.replace("﻿", "").replace("\r\n", "\n").replace("\r", "\n"))
 
 
+def _first_lines(text: str, n: int) -> list[str]:
+    """The first ``n`` lines that are not blank."""
+    out, at = [], 0
+    while len(out) < n and at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if (line := text[at:end]).strip():
+            out.append(line)
+        at = end + 1
+    return out
+
+
+_SENTENCE = re.compile(r"(?<=[.!?。！？؟])[\"'»”’)\]]*\s+")
+
+
+def pieces(body: str, kind: str) -> list[str]:
+    """The sentences of prose and mails, the lines of all else, in lower case and with single blanks."""
+    out = []
+    for line in body.split("\n"):
+        parts = _SENTENCE.split(line) if kind in ("prose", "mail") else (line,)
+        out += [" ".join(p.split()).lower() for p in parts if p and not p.isspace()]
+    return out
+
+
 def kind_of(text: str, declared: str | None) -> str:
     """What a text is made of: json, csv, log, code, form, mail or prose (also lists and Markdown)."""
     head = text.lstrip()[:1]
-    lines = [x for x in text[:4000].split("\n") if x.strip()]
+    lines = _first_lines(text, 5)
     first = lines[0] if lines else ""
     if head in ("{", "[") and not _STAMP.match(first) and not _TODO_LINE.match(first) and declared in (None, "json"):
         return "json"
@@ -184,22 +215,27 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             kind, state, key = end_of(text, declared)
             value = " ".join(clean(text).split())
-            prefixes, p = [], LEAST_PREFIX
+            prefixes, p = [], 1
             while p <= len(value):
                 prefixes.append(signed(digest(f"{p}:{value[:p]}")))
                 p *= 2
             whole = text.rstrip("�")
-            rows.append((i, source, len(text), len(whole.encode()), kind, state, key, signed(digest(value)), len(value), prefixes))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 10
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        names = ["doc_id", "source", "chars", "bytes", "kind", "state", "key", "value", "length", "prefixes"]
+            tail = None
+            if state == "open":
+                last = pieces(clean(text).rstrip().rsplit("\n", 1)[-1], "prose" if kind in ("prose", "heading") else kind)
+                tail = last[-1] if last else None
+            near, at_all = (signed(digest(tail[: 1 << (len(tail).bit_length() - 1)])), signed(digest(tail))) if tail else (None, None)
+            rows.append((i, source, len(text), len(whole.encode()), kind, state, key, signed(digest(value)), len(value), prefixes, near, at_all))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 12
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        names = ["doc_id", "source", "chars", "bytes", "kind", "state", "key", "value", "length", "prefixes", "near", "tail"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def facts(docs: DataFrame) -> DataFrame:
     """What is known of every document that is not blank, materialised."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text", "source", F.lower(F.trim("format")).alias("format"))
-    schema = "doc_id long, source string, chars int, bytes int, kind string, state string, key string, value long, length int, prefixes array<long>"
+    schema = "doc_id long, source string, chars int, bytes int, kind string, state string, key string, value long, length int, prefixes array<long>, near long, tail long"
     return materialize(narrow.mapInArrow(_facts, schema), "facts")
 
 
@@ -255,18 +291,80 @@ def closing_units(docs: DataFrame) -> DataFrame:
 def extended(keys: DataFrame, units: DataFrame) -> DataFrame:
     """(kind, key, longer, longer_uses): the uses of units that ``key`` is a strict prefix of.
 
-    The self-join by prefix: joined on the kind and the first three characters (one for shorter keys).
+    The self-join by prefix: a unit's prefix of every length that a key of its kind has is joined with the keys.
     """
     short = keys.select("kind", "key").distinct()
-    a = short.select("kind", "key", F.when(F.length("key") < 3, F.substring("key", 1, 1)).otherwise(F.substring("key", 1, 3)).alias("p"))
-    longer = units.select("kind", F.col("key").alias("long"), F.greatest("uses", "closing").alias("n"))
-    b = longer.select("kind", "long", "n", F.explode(F.array_distinct(F.array(F.substring("long", 1, 1), F.substring("long", 1, 3)))).alias("p"))
-    hit = a.join(b, ["kind", "p"]).where("startswith(long, key) and length(long) > length(key)")
-    return hit.groupBy("kind", "key").agg(F.count("*").alias("longer"), F.sum("n").alias("longer_uses"))
+    lengths = short.select("kind", F.length("key").alias("n")).where("n > 0").distinct()
+    longer = units.select("kind", F.col("key").alias("long"), F.greatest("uses", "closing").alias("uses"))
+    each = longer.join(lengths, "kind").where(F.col("n") < F.length("long")).select("kind", F.expr("substring(long, 1, n)").alias("key"), "uses")
+    return each.join(short, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count("*").alias("longer"), F.sum("uses").alias("longer_uses"))
+
+
+def _screen(known: DataFrame, column: str) -> bytes:
+    """A bit for every value of a hash column, in SCREEN_BITS bits."""
+    words = known.where(F.col(column).isNotNull()).select(F.pmod(F.col(column), F.lit(SCREEN_BITS)).alias("b"))
+    folded = words.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    out = np.zeros(SCREEN_BITS // 64, dtype=np.int64)
+    for w, bits in folded.collect():  # SCREEN_BITS / 64 rows at most
+        out[w] = bits
+    return out.tobytes()
+
+
+def longer_sentences(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(tail, going_on, whole): of the last sentences or lines of open ends, how many others elsewhere begin with them
+    and go on, and how many are just them and closed by a line end or a further sentence.
+
+    Every sentence and line of every document is compared by the hashes of its prefixes, of those lengths only that
+    the screens know; counts are combined within a task.
+    """
+    near, whole = _screen(known, "near"), _screen(known, "tail")
+    step = re.compile(_GOES_ON_PY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        near_bits, all_bits = memoryview(near), memoryview(whole)
+        mask = SCREEN_BITS - 1
+        has = lambda bits, h: bits[(h & mask) >> 3] >> (h & 7) & 1
+        going: Counter = Counter()
+        equal: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(going.keys() | equal.keys())
+            signed = [h - (1 << 64) if h >> 63 else h for h in keys]
+            out = pa.RecordBatch.from_arrays([pa.array(signed, pa.int64()), pa.array([going[k] for k in keys], pa.int64()), pa.array([equal[k] for k in keys], pa.int64())], ["tail", "going_on", "whole"])
+            going.clear()
+            equal.clear()
+            return out
+
+        for batch in batches:
+            for text, declared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None or not text.strip():
+                    continue
+                t = clean(text)
+                parts = pieces(t.rstrip(), kind_of(t, declared))
+                for i, u in enumerate(parts):
+                    n, p = len(u), 1
+                    if i < len(parts) - 1:  # the last one may be cut itself
+                        h = digest(u)
+                        if has(all_bits, h):
+                            equal[h] += 1
+                    while p < n:
+                        if has(near_bits, digest(u[:p])):
+                            for m in range(p, min(2 * p, n)):
+                                h = digest(u[:m])
+                                if has(all_bits, h) and step.match(u, m):
+                                    going[h] += 1
+                        p *= 2
+                if len(going) + len(equal) > MOST_KEYS:
+                    yield flush()
+        yield flush()
+
+    narrow = docs.select("text", F.lower(F.trim("format")).alias("format"))
+    return narrow.mapInArrow(run, "tail long, going_on long, whole long").groupBy("tail").agg(F.sum("going_on").alias("going_on"), F.sum("whole").alias("whole"))
 
 
 def prefix_values(known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, unfinished) of documents whose value is a strict prefix of a longer document (of LEAST_PREFIX characters or more).
+    """(doc_id, unfinished) of documents whose value is a strict prefix of a longer document.
 
     ``unfinished``: a longer copy goes on in the same line, so the last word, sentence or row is not whole.
 
@@ -299,17 +397,20 @@ def limits(known: DataFrame) -> DataFrame:
     counts = per.groupBy("source", "unit", "n").count()
     most = counts.groupBy("source", "unit").agg(F.max("n").alias("size"))
     slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
-    at = counts.join(most, ["source", "unit"]).where((F.col("n") >= F.col("size") - slack) & (F.col("size") > LEAST_PREFIX)).groupBy("source", "unit", "size").agg(F.sum("count").alias("docs"))
+    at = counts.join(most, ["source", "unit"]).where((F.col("n") >= F.col("size") - slack) & (F.col("size") > 0)).groupBy("source", "unit", "size").agg(F.sum("count").alias("docs"))
     best = at.where(F.col("docs") >= LIMIT_DOCS).groupBy("source").agg(F.max(F.struct("docs", F.col("unit") == "chars", "unit", "size")).alias("b"))
     return best.select("source", "b.unit", "b.size", "b.docs")
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, state, at_limit, prefix, cut) of every document that is not blank."""
+    """(doc_id, source, kind, state, at_limit, evidence, cut) of every document that is not blank.
+
+    ``evidence`` tells what decided: itself (the end), document, sentence, word, going_on (the prefix joins), or limit.
+    """
     known = facts(docs)
     open_ = known.where("state = 'open'")
     units = materialize(closing_units(docs), "units")
-    keys = open_.select("kind", "key").distinct()
+    keys = open_.groupBy("kind", "key").agg(F.count("*").alias("ends"))
     total = known.groupBy("kind").agg(F.count("*").alias("of_kind"))
     judged = keys.join(units, ["kind", "key"], "left").join(extended(keys, units), ["kind", "key"], "left").join(total, "kind", "left").na.fill(0, ["uses", "closing", "longer", "longer_uses", "of_kind"])
     line_end = F.col("kind").isin("code", "form")
@@ -320,19 +421,24 @@ def evidence(docs: DataFrame) -> DataFrame:
         .when(F.col("kind") == "heading", (F.col("closing") >= 1) | (F.col("longer") == 0))
         .otherwise((F.col("uses") > 0) & (F.col("closing") >= 0.6 * F.col("uses")))
     )
-    judged = judged.select("kind", "key", whole.alias("whole"))
+    word = (F.col("kind") == "prose") & (F.col("longer") > 0) & (F.col("uses") <= F.col("ends"))  # it occurs at open ends only
+    judged = judged.select("kind", "key", whole.alias("whole_key"), word.alias("word"))
+    sentences = longer_sentences(docs, open_).where("going_on > whole").select("tail", F.lit(True).alias("sentence"))
     limit = limits(known)
     near = F.when(F.col("unit") == "chars", F.col("chars") == F.col("size")).when(F.col("unit") == "bytes", F.col("bytes").between(F.col("size") - 3, F.col("size")))
     sizes = limit.select(F.col("size").alias("any_size"), F.col("unit").alias("any_unit")).distinct()
     nowhere = known.where("source is null").select("doc_id", F.explode(F.array(F.struct(F.lit("chars").alias("any_unit"), F.col("chars").alias("any_size")), F.struct(F.lit("bytes").alias("any_unit"), F.col("bytes").alias("any_size")))).alias("x")).select("doc_id", "x.*")
     elsewhere = nowhere.join(sizes, ["any_unit", "any_size"], "left_semi").select("doc_id", F.lit(True).alias("elsewhere")).distinct()
     prefixed = prefix_values(known, docs).withColumn("prefix", F.lit(True))
-    all_ = known.join(judged, ["kind", "key"], "left").join(limit, "source", "left").join(elsewhere, "doc_id", "left").join(prefixed, "doc_id", "left")
+    all_ = known.join(judged, ["kind", "key"], "left").join(sentences, "tail", "left").join(limit, "source", "left").join(elsewhere, "doc_id", "left").join(prefixed, "doc_id", "left")
     at_limit = F.coalesce(near, F.col("elsewhere"), F.lit(False))
-    state = F.when(F.col("state") != "open", F.col("state")).when(F.col("unfinished"), "cut").when(F.col("whole"), "complete").otherwise("cut")
-    flat = all_.select("doc_id", "source", "kind", "key", state.alias("state"), at_limit.alias("at_limit"), F.coalesce("prefix", F.lit(False)).alias("prefix"))
-    at_cut = (F.col("state") == "dots") & F.col("at_limit")
-    return flat.withColumn("cut", (F.col("state") == "cut") | at_cut | (F.col("prefix") & (F.col("state") != "complete")))
+    is_open = F.col("state") == "open"
+    told = (
+        F.when(is_open & F.col("unfinished"), "document").when(is_open & F.col("sentence"), "sentence").when(is_open & F.col("word"), "word").when(is_open, "going_on")
+        .when((F.col("state") == "dots") & at_limit, "limit").when((F.col("state") == "dots") & F.coalesce("prefix", F.lit(False)), "document").otherwise("itself")
+    )
+    cut = F.when(F.col("told") == "going_on", ~F.coalesce("whole_key", F.lit(False))).when(F.col("told") == "itself", F.col("state") == "cut").otherwise(F.lit(True))
+    return all_.withColumn("told", told).select("doc_id", "source", "kind", "key", "state", at_limit.alias("at_limit"), F.col("told").alias("evidence"), cut.alias("cut"))
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
@@ -344,6 +450,11 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return evidence(docs).where("cut").select("doc_id").distinct()
 
 
+def cut_evidence(docs: DataFrame) -> DataFrame:
+    """(evidence, documents): how many cut documents each kind of evidence decided."""
+    return evidence(docs).where("cut").groupBy("evidence").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 def cut_shares(docs: DataFrame) -> DataFrame:
     """(source, documents, cut, share) of every source, also of the null one; all documents count."""
     cut = cut_documents(docs).withColumn("is_cut", F.lit(1))

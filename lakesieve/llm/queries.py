@@ -83,8 +83,13 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_shares(table(spark, d, "documents"))
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut documents each kind of evidence decided."""
+    return cutoff.cut_evidence(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_found": p8_found, "p8_sources": p8_sources, "p8_evidence": p8_evidence}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -225,3 +225,18 @@ def test_longer_copy_overrides_frequency(spark):
     rows += [(200, open_[0] + " beds and then went home."), (201, open_[1] + "side cafes."), (202, open_[2] + "\n\nNext day they left.")]
     docs = spark.createDataFrame([(i, t, None, "txt") for i, t in rows], "doc_id long, text string, source string, format string")
     assert {r[0] for r in cutoff.cut_documents(docs).collect()} == {100, 101}
+
+
+def test_sentences_and_words_are_prefixes(spark):
+    whole = "We met in the garden of the old mill. Then the keeper brought us lanterns for the way home."
+    rows = [(i, whole + f" Number {i} was there.", "a", "txt") for i in range(4)]
+    rows += [(10, "It was late. Then the keeper brought us", "a", "txt"), (11, "Everybody came. They carried lanter", "b", None), (12, "x" * 5000 + "\nname=Ada\nage=4", "b", "form")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, format string")
+    got = {r.doc_id: (r.cut, r.evidence) for r in cutoff.evidence(docs).collect()}
+    assert got[10] == (True, "sentence") and got[11] == (True, "word") and not got[0][0]
+    assert {r.doc_id for r in cutoff.facts(docs).where("kind = 'form'").collect()} <= {12}
+
+
+def test_first_lines_of_long_texts():
+    assert cutoff.kind_of(" " * 9000 + "a=1\nb=2", "form") == "form"
+    assert cutoff._first_lines("\n \nab\n\ncd\nef", 2) == ["ab", "cd"]
