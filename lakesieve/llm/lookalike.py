@@ -4,6 +4,9 @@ Method. Compatibility normalisation in composed form, removal of default-ignorab
 mapped to a space, look-alike letters mapped to the plain one, and (unless switched off) full case folding;
 done once per distinct value of a batch, with a fast path for plain ASCII. ``p4_found`` switches case folding
 off, because there a letter's case counts.
+
+The look-alikes are a short table of the frequent ones and, in operators on tables, those of the Unicode confusables,
+taken from the ICU library that comes with Spark (``confusables``).
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesieve.session import materialize
@@ -32,8 +35,37 @@ IGNORABLE = (
     (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
-#: Longest value that a task keeps the form of.
-CACHED_CHARS = 64
+
+
+#: Last code point that confusables are asked of: the basic plane and the supplementary letters and digits.
+LAST_CODE = 0x1FFFF
+
+
+def confusables(spark: SparkSession) -> dict[int, str]:
+    """Letter or digit beyond ASCII -> the one ASCII letter or digit that looks like it, as Unicode lists it.
+
+    Two characters look alike if they have one skeleton. Of several plain characters with one skeleton (l, I, 1 and
+    O, 0) a capital letter stands for the capital, a digit for the digit, any other letter for the small letter.
+    Characters that decompose to others are left to normalisation.
+    """
+    codes = [c for c in range(128, LAST_CODE + 1) if unicodedata.category(chr(c))[0] in "LN" and unicodedata.normalize("NFKD", chr(c)) == chr(c)]
+    plain = [c for c in range(33, 127) if chr(c).isalnum()]
+    # One call: a skeleton is made character by character, and a line feed stays one.
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join(chr(c) for c in (*plain, *codes))).split("\n")
+    if len(skeletons) != len(plain) + len(codes):
+        return {}
+    of: dict[str, list[str]] = {}
+    for c, k in zip(plain, skeletons, strict=False):
+        of.setdefault(k, []).append(chr(c))
+    out = {}
+    for c, k in zip(codes, skeletons[len(plain) :], strict=True):
+        kind = unicodedata.category(chr(c))
+        like = [p for p in of.get(k, []) if kind[0] == "L" or p.isdigit()]
+        best = [p for p in like if (p.isupper() if kind == "Lu" else p.isdigit() if kind[0] == "N" else p.islower())]
+        if best or len(like) == 1:
+            out[c] = (best or like)[0]
+    return out
 
 
 class _Plain(dict):
@@ -120,46 +152,69 @@ def _forms(values: pd.Series, fold: bool) -> pd.Series:
     return pd.Series(forms[codes])
 
 
-def plain(c: Column, fold_case: bool = True) -> Column:
-    """Column form of ``plain_form``, computed once per distinct value of a batch."""
+def know(more: dict[int, str]) -> None:
+    """Add look-alikes to those that this process knows; the frequent ones and what was met before stay."""
+    for code, c in more.items():
+        if _PLAIN.get(code, code) == code:
+            _PLAIN[code] = c
+
+
+def plain(c: Column, fold_case: bool = True, more: dict[int, str] | None = None) -> Column:
+    """Column form of ``plain_form``, computed once per distinct value of a batch; ``more`` look-alikes are known too."""
 
     def run(values: pd.Series) -> pd.Series:
+        know(more or {})
         return _forms(values, fold_case)
 
     return F.pandas_udf(run, "string")(c)
 
 
-def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, str] = {}
-    digest, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
-
-    def form(v: str) -> str:
-        if len(v) > CACHED_CHARS:
-            return plain_form(v, False)
-        if (p := cache.get(v)) is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            p = cache[v] = plain_form(v, False)
-        return p
-
-    for batch in batches:
-        ids, high, low, stored = [], [], [], []
-        for i, text, fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if i is None or (text is None and fields is None):
-                continue
-            if text is not None:
-                as_is, look = "t" + text, "t" + form(text)
-            else:
-                pairs = sorted(dict(fields).items())
-                as_is = "f" + "\x1e".join(k + ("\x1f=" + v if v is not None else "\x1f-") for k, v in pairs)
-                look = "f" + "\x1e".join(k + ("\x1f=" + form(v) if v is not None else "\x1f-") for k, v in pairs)
-            h = long(look)
-            ids.append(i)
-            high.append(h >> 64)
-            low.append(h & 0xFFFFFFFFFFFFFFFF)
-            stored.append(digest(as_is))
-        columns = [pa.array(ids, pa.int64()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (high, low, stored))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "high", "low", "stored"])
+def _looks(more: dict[int, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know(more)
+        digest, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+        for batch in batches:
+            rows = [r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[0] is not None and (r[1] is not None or r[2] is not None)]
+            distinct = {r[1] for r in rows if r[1] is not None} | {v for r in rows if r[1] is None for _, v in r[2] if v is not None}
+            form = {v: plain_form(v, False) for v in distinct}
+            ids, high, low, stored = [], [], [], []
+            for i, text, fields in rows:
+                if text is not None:
+                    as_is, look = "t" + text, "t" + form[text]
+                else:
+                    pairs = sorted(dict(fields).items())
+                    as_is = "f" + "\x1e".join(k + ("\x1f=" + v if v is not None else "\x1f-") for k, v in pairs)
+                    look = "f" + "\x1e".join(k + ("\x1f=" + form[v] if v is not None else "\x1f-") for k, v in pairs)
+                h = long(look)
+                ids.append(i)
+                high.append(h >> 64)
+                low.append(h & 0xFFFFFFFFFFFFFFFF)
+                stored.append(digest(as_is))
+            columns = [pa.array(ids, pa.int64()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (high, low, stored))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "high", "low", "stored"])
+
+    return run
+
+
+def looks(requests: DataFrame) -> DataFrame:
+    """(id, high, low, stored) of every request with a text or fields: hashes of its look and of what is stored, materialised."""
+    more = confusables(requests.sparkSession)
+    rows = requests.select(F.col("request_id").cast("long"), "text", "fields").mapInArrow(_looks(more), "id long, high long, low long, stored long")
+    return materialize(rows.distinct(), "looks")
+
+
+def look_classes(requests: DataFrame) -> DataFrame:
+    """One row per request with a text or fields: (request_id, class_id, links).
+
+    ``class_id`` is the smallest id of the requests that look the same, ``links`` the number of those that are stored
+    differently. Nothing is expanded into pairs. Rows as in ``same_look_pairs``; a request that repeats its id with
+    different contents has a row for each.
+    """
+    rows, look = looks(requests), ["high", "low"]
+    kinds = rows.groupBy(*look, "stored").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    whole = kinds.groupBy(*look).agg(F.sum("n").alias("all"), F.min("first").alias("class_id"))
+    each = kinds.join(whole, look).select(*look, "stored", "class_id", (F.col("all") - F.col("n")).alias("links"))
+    return rows.join(each, [*look, "stored"]).select(F.col("id").alias("request_id"), "class_id", "links")
 
 
 def same_look_pairs(requests: DataFrame) -> DataFrame:
@@ -170,8 +225,7 @@ def same_look_pairs(requests: DataFrame) -> DataFrame:
     stored alike are no pair, however many there are. Repeated rows of a request count once; requests that
     repeat an id with different contents count with each content.
     """
-    rows = requests.select(F.col("request_id").cast("long"), "text", "fields").mapInArrow(_looks, "id long, high long, low long, stored long")
-    rows = materialize(rows.distinct(), "looks")
+    rows = looks(requests)
     look = ["high", "low"]
     variants = rows.select(*look, "stored").distinct()
     several = variants.groupBy(*look).agg(F.count("*").alias("n")).where("n > 1").select(*look)

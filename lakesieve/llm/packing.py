@@ -121,22 +121,23 @@ def containers(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     (null and empty texts), take no room and are left out; repeated item rows are packed as often as they are;
     a spec with a null or non-positive capacity has no containers.
     """
-    base = materialize(sizes.where("item_id is not null and tokens > 0").select(F.col("item_id").cast("long"), F.col("tokens").cast("long")), "sizes")
+    base = sizes.where("item_id is not null and tokens > 0").select(F.col("item_id").cast("long"), F.col("tokens").cast("long"))
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "sizes")  # repeated rows are items of their own
     caps = specs.where("spec_id is not null and capacity_tokens > 0").select(F.col("spec_id").cast("int"), F.col("capacity_tokens").cast("long")).dropDuplicates(["spec_id"]).limit(MOST_SPECS + 1).collect()
     if len(caps) > MOST_SPECS:
         raise ValueError("too many container sizes: each is a pass over all items")
     each = F.array(*(F.struct(F.lit(c[0]).alias("spec_id"), F.lit(c[1]).cast("long").alias("capacity")) for c in sorted(caps))) if caps else F.expr("cast(array() as array<struct<spec_id int, capacity bigint>>)")
     pieces = (
-        base.select("item_id", "tokens", F.explode(each).alias("spec"))
-        .select("item_id", "tokens", "spec.spec_id", "spec.capacity")
+        base.select("item_id", "tokens", "row", F.explode(each).alias("spec"))
+        .select("item_id", "tokens", "row", "spec.spec_id", "spec.capacity")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / F.col("capacity")))))
         .withColumn("start", F.col("piece") * F.col("capacity"))
         .withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("start")))
     )
     totals = pieces.where("tokens < capacity").groupBy("spec_id").agg(F.sum("tokens").alias("total"), F.count("*").alias("items"), F.first("capacity").alias("cap"))
     blocks = totals.select("spec_id", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("total") / (F.col("cap") * BLOCK_WINDOWS), F.col("items") / BLOCK_ITEMS))).alias("blocks"))
-    full = pieces.where("tokens = capacity").select("spec_id", (-1 - F.abs(F.xxhash64("item_id", "piece")) % F.lit(1 << 62)).alias("container_id"), "item_id", "piece", "start", "tokens")
-    rest = pieces.where("tokens < capacity").join(F.broadcast(blocks), "spec_id").withColumn("block", F.pmod(F.xxhash64("item_id", "piece"), F.col("blocks")))
+    full = pieces.where("tokens = capacity").select("spec_id", (-1 - F.monotonically_increasing_id()).alias("container_id"), "item_id", "piece", "start", "tokens")
+    rest = pieces.where("tokens < capacity").join(F.broadcast(blocks), "spec_id").withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.col("blocks")))
     packed = rest.select("spec_id", "capacity", "block", "item_id", "piece", "start", "tokens").groupBy("spec_id", "block").applyInPandas(_pack_block, full.schema)
     return full.unionByName(packed)
 

@@ -32,12 +32,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "score_requests"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per request: its class of equal looks and how many of them are stored differently."""
+    return lookalike.look_classes(table(spark, d, "score_requests"))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """The one form, case folded, of every text and field value: (request_id, place, form)."""
     requests = table(spark, d, "score_requests")
     texts = requests.where("text is not null").select("request_id", F.lit("text").alias("place"), F.col("text").alias("value"))
     fields = requests.where("fields is not null").select("request_id", F.explode("fields").alias("place", "value"))
-    return texts.unionByName(fields).select("request_id", "place", lookalike.plain(F.col("value")).alias("form"))
+    return texts.unionByName(fields).select("request_id", "place", lookalike.plain(F.col("value"), more=lookalike.confusables(spark)).alias("form"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +94,7 @@ def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_found": p8_found, "p8_sources": p8_sources, "p8_evidence": p8_evidence}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms, "p5_found": p5_found, "p5_masked": p5_masked, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_containers": p7_containers, "p7_usage": p7_usage, "p8_found": p8_found, "p8_sources": p8_sources, "p8_evidence": p8_evidence}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -240,3 +240,23 @@ def test_sentences_and_words_are_prefixes(spark):
 def test_first_lines_of_long_texts():
     assert cutoff.kind_of(" " * 9000 + "a=1\nb=2", "form") == "form"
     assert cutoff._first_lines("\n \nab\n\ncd\nef", 2) == ["ab", "cd"]
+
+
+def test_confusables_and_look_classes(spark):
+    from lakesieve.llm.lookalike import confusables, look_classes
+
+    more = confusables(spark)
+    assert more[ord("\u13aa")] == "A" and more[ord("\u0430")] == "a" and ord("a") not in more and all(v.isalnum() and v.isascii() for v in more.values())
+    rows = [(1, "Anna", None), (2, "\u13aanna", None), (3, "Anna", None), (4, "anna", None), (5, None, None), (6, "", None), (6, "", None)]
+    got = {(r.request_id, r.class_id, r.links) for r in look_classes(spark.createDataFrame(rows, "request_id long, text string, fields map<string,string>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 0), (6, 6, 0)}
+
+
+def test_repeated_full_items_get_containers_of_their_own(spark):
+    sizes = spark.createDataFrame([(1, 8), (1, 8), (2, 3), (2, 3), (3, 20)], "item_id long, tokens long")
+    specs = spark.createDataFrame([(1, 8)], "spec_id int, capacity_tokens int")
+    rows = packing.containers(sizes, specs).collect()
+    fill = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.tokens
+    assert sum(fill.values()) == 42 and max(fill.values()) <= 8 and len(fill) == 6
