@@ -288,10 +288,10 @@ class Labelers:
 
 
 def values_of(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(request_id, place, text): every field value and every normalized text that is not blank."""
+    """(request_id, place, text, th): every field value and every normalized text that is not blank, and a hash of it."""
     fields = requests.where("request_id is not null and fields is not null").select(F.col("request_id").cast("long").alias("request_id"), F.explode("fields").alias("place", "text"))
     texts = results.where("request_id is not null").select(F.col("request_id").cast("long").alias("request_id"), F.lit("normalized").alias("place"), F.col("normalized").alias("text"))
-    return fields.unionByName(texts).where("text is not null and text <> ''")
+    return fields.unionByName(texts).where("text is not null and text <> ''").withColumn("th", F.xxhash64("text"))
 
 
 def _labeled(names: list[tuple[str, str]], ordinary: set[str]):
@@ -299,12 +299,12 @@ def _labeled(names: list[tuple[str, str]], ordinary: set[str]):
         labelers = Labelers(names, ordinary)
         for batch in batches:
             out: list[tuple] = []
-            for i, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, place, text, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for kind, pattern, start, end in labelers.spans(text, place):
-                    out.append((i, place, kind, pattern, start, end))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["request_id", "place", "kind", "pattern", "start", "end"])
+                    out.append((i, place, th, kind, pattern, start, end))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["request_id", "place", "th", "kind", "pattern", "start", "end"])
 
     return run
 
@@ -335,7 +335,7 @@ def ordinary_names(requests: DataFrame, names: list[tuple[str, str]]) -> set[str
         both = sorted(set(low) | set(high))
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([low.get(w, 0) for w in both], pa.int64()), pa.array([high.get(w, 0) for w in both], pa.int64())], ["name", "low", "high"])
 
-    texts = requests.where("fields is not null").select(F.explode(F.map_values("fields")).alias("text")).where("text is not null and length(text) > 30")
+    texts = requests.where("fields is not null").select(F.explode(F.map_values("fields")).alias("text")).where("text is not null")
     counts = texts.mapInArrow(run, "name string, low long, high long").groupBy("name").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     return {r["name"] for r in counts.collect() if r["low"] > 0.2 * r["high"]}
 
@@ -404,7 +404,7 @@ def train_classifier(patterns: list[tuple[str, int]], rounds: int = 2000) -> dic
 
 
 def detected(requests: DataFrame, results: DataFrame, person_names: DataFrame, least: float = 0.5, most_names: int = 1_000_000) -> DataFrame:
-    """(request_id, place, kind, start, end) of every span that the classifier accepts, materialised.
+    """(request_id, place, th, kind, start, end) of every span that the classifier accepts, materialised.
 
     ``place`` is a key of ``fields`` or ``normalized``. Offsets count code points of the value. Null, empty and
     blank values have no spans; null names are ignored; rows that repeat a request repeat its spans.
@@ -414,10 +414,10 @@ def detected(requests: DataFrame, results: DataFrame, person_names: DataFrame, l
     if len(names) > most_names:
         raise ValueError("the list of names is too long to be held by every task")
     ordinary = ordinary_names(requests, names)
-    spans = materialize(values_of(requests, results).mapInArrow(_labeled(names, ordinary), "request_id long, place string, kind string, pattern string, start int, end int"), "spans")
+    spans = materialize(values_of(requests, results).mapInArrow(_labeled(names, ordinary), "request_id long, place string, th long, kind string, pattern string, start int, end int"), "spans")
     counts = [(r["pattern"], r["count"]) for r in spans.groupBy("pattern").count().collect()]  # bounded by the votes and features
     accepted = [p for p, g in train_classifier(counts).items() if g >= least]
-    return spans.where(F.col("pattern").isin(accepted)).select("request_id", "place", "kind", "start", "end")
+    return spans.where(F.col("pattern").isin(accepted)).select("request_id", "place", "th", "kind", "start", "end")
 
 
 def found_places(requests: DataFrame, results: DataFrame, person_names: DataFrame) -> DataFrame:
@@ -431,7 +431,8 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             done, last = [], 0
             for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
-                if s["start"] < last:
+                if s["start"] < last:  # overlapping pieces are one, so that no tail stays
+                    last = max(last, s["end"])
                     continue
                 done += [text[last : s["start"]], f"[{s['kind'].upper()}]"]
                 last = s["end"]
@@ -445,6 +446,6 @@ def masked(requests: DataFrame, results: DataFrame, person_names: DataFrame) ->
     The rest of a value stays as it is. Null and empty values are left out; repeated rows of a request and place
     with the same text come out once.
     """
-    spans = detected(requests, results, person_names).distinct().groupBy("request_id", "place").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
-    values = values_of(requests, results).distinct()
-    return values.join(spans, ["request_id", "place"], "left").select("request_id", "place", "text", "spans").mapInArrow(_replace, "request_id long, place string, masked string")
+    spans = detected(requests, results, person_names).distinct().groupBy("request_id", "place", "th").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
+    values = values_of(requests, results).dropDuplicates(["request_id", "place", "th"])
+    return values.join(spans, ["request_id", "place", "th"], "left").select("request_id", "place", "text", "spans").mapInArrow(_replace, "request_id long, place string, masked string")

@@ -260,3 +260,11 @@ def test_repeated_full_items_get_containers_of_their_own(spark):
     for r in rows:
         fill[r.container_id] = fill.get(r.container_id, 0) + r.tokens
     assert sum(fill.values()) == 42 and max(fill.values()) <= 8 and len(fill) == 6
+
+
+def test_masked_tells_texts_of_a_request_apart(spark):
+    requests = spark.createDataFrame([(1, {"normalized": "mail ada.long@example.com now"})], "request_id long, fields map<string,string>")
+    results = spark.createDataFrame([(1, "write to bob@example.org today"), (1, "the box and the lid were already here")], "request_id long, normalized string")
+    names = spark.createDataFrame([(1, "Ada", "given")], "name_id int, name string, kind string")
+    got = {r.masked for r in masked(requests, results, names).collect()}
+    assert got == {"mail [EMAIL] now", "write to [EMAIL] today", "the box and the lid were already here"}
