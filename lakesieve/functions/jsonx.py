@@ -65,6 +65,76 @@ def strict_canonical(c: Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+def compact(value: object) -> str:
+    """A parsed value as ECMAScript prints it, members in their own order; a text is itself."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        return "[" + ",".join(json.dumps(v, ensure_ascii=False) if isinstance(v, str) else compact(v) for v in value) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json.dumps(v, ensure_ascii=False) if isinstance(v, str) else compact(v)}" for k, v in value.items()) + "}"
+    return canonical(value)
+
+
+def pretty(value: object, indent: str = "") -> str:
+    """A parsed value over several lines, two blanks a level."""
+    inner = indent + "  "
+    if isinstance(value, list) and value:
+        return "[\n" + ",\n".join(inner + pretty(v, inner) for v in value) + "\n" + indent + "]"
+    if isinstance(value, dict) and value:
+        return "{\n" + ",\n".join(f"{inner}{json.dumps(k, ensure_ascii=False)}: {pretty(v, inner)}" for k, v in value.items()) + "\n" + indent + "}"
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, str) else compact(value)
+
+
+def parsed_items(text: str | None) -> tuple[list, bool]:
+    """(items, whether they are an array): S4 with the items as values; lines that do not parse are texts."""
+    if not text or not text.strip():
+        return [], False
+    t = text.strip()
+    if t[0] == "[" and t[-1] == "]":
+        try:
+            return json.loads(t), True
+        except ValueError:
+            pass
+    out = []
+    for line in (x.strip() for x in t.split("\n")):
+        if line:
+            try:
+                out.append(json.loads(line))
+            except ValueError:
+                out.append(line)
+    return out, False
+
+
+def render(text: str | None, stack: bool = False, indented: bool = True) -> list[str]:
+    """The lines of a JSON text without repeated items: the first of equal ones in its own member order.
+
+    An array is printed whole (over several lines if ``indented``) unless stacked; items one a line else.
+    """
+    items, is_array = parsed_items(text)
+    first: dict[str, list] = {}
+    for v in items:
+        key = v if isinstance(v, str) else canonical(v)
+        if key in first:
+            first[key][1] += 1
+        else:
+            first[key] = [v, 1]
+    kept = list(first.values())
+    if is_array and not stack:
+        values = [v for v, _ in kept]
+        return (pretty(values) if indented else compact(values)).split("\n")
+    return [(f"x{n} " if stack else "") + compact(v) for v, n in kept]
+
+
+def rendered(c: Column, stack: bool = False, indented: bool = True) -> Column:
+    """J3 as a Column: array of lines; empty for null and blank texts."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: render(v, stack, indented))
+
+    return F.pandas_udf(run, "array<string>")(c)
+
+
 def items_of(text: str | None) -> list[str]:
     """The items of a JSON text, canonical: of an array its elements, else every line that is not blank."""
     if not text or not text.strip():

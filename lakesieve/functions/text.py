@@ -112,6 +112,24 @@ def cut_at(c: Column, *markers: str) -> Column:
     return js_trim(c)
 
 
+# What begins a comment that ends with its line, by language.
+LINE_COMMENTS = {
+    "//": ("javascript", "typescript", "go", "rust", "java", "csharp", "swift", "dart"),
+    "#": ("python", "ruby", "shell", "powershell", "r"),
+    "--": ("sql", "lua"),
+}
+
+
+def strip_line_comments(c: Column, language: Column) -> Column:
+    """A line of ``language`` without its comment, trimmed. PHP has // and #, HTML and CSS have none that end with
+    the line (HTML loses comments that begin and end in it), a language that is not known has //, # and --."""
+    out = F.when(language == "php", cut_at(c, "//", "#")).when(language == "css", js_trim(c))
+    out = out.when(language == "html", js_trim(F.regexp_replace(c, "<!--[^\\n\\r\\u2028\\u2029]*?-->", "")))
+    for marker, languages in LINE_COMMENTS.items():
+        out = out.when(language.isin(*languages), cut_at(c, marker))
+    return out.otherwise(cut_at(c, "//", "#", "--"))
+
+
 def code_metadata(c: Column, strings: bool = False, numbers: bool = False) -> Column:
     """String literals as \"\", numbers as 0."""
     if strings:
@@ -126,15 +144,25 @@ def code_edges(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[;,][{WS}]*\\z", "")
 
 
-def comparison_key(c: Column, fmt: str = "txt", ignore_case: bool = False, ignore_punct: bool = False, collapse_ws: bool = False, bullets: bool = False, markers: tuple[str, ...] = ("//", "#", "--")) -> Column:
-    """The key that lines of a format are compared by."""
+def comparison_key(c: Column, fmt: str = "txt", ignore_case: bool = False, ignore_punct: bool = False, collapse_ws: bool = False, bullets: bool = False, language: Column | None = None) -> Column:
+    """The key that lines of a format are compared by.
+
+    A line of code loses its comment by ``language``, or by the language that the line itself shows; a line of JSON
+    that parses is compared in canonical form.
+    """
     s = raw_line(c)
     if fmt == "log":
         s = strip_log(s)
     elif fmt == "todo":
         s = strip_todo(s)
     elif fmt == "code":
-        s = code_edges(cut_at(s, *markers))
+        from lakesieve.functions.detect import detect_language
+
+        s = code_edges(strip_line_comments(s, detect_language(F.lit(""), s) if language is None else language))
+    elif fmt == "json":
+        from lakesieve.functions.jsonx import strict_canonical
+
+        s = F.when(s.startswith("{") | s.startswith("["), strict_canonical(s)).otherwise(s)
     elif fmt == "txt" and bullets:
         s = strip_bullet(s)
     return case_key(compare_filter(s, ignore_punct, collapse_ws), ignore_case)

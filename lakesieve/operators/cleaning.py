@@ -76,18 +76,21 @@ def clean_lines(docs: DataFrame, id_col: str, text_col: str, mode: str = "list",
     return done.select(F.col("id").alias(id_col), "x.index", "x.line", "x.kept", "x.reasons")
 
 
-def clean_form(fields: Column, phrases: Column, max_urls: Column, mode: Column) -> Column:
-    """The fields that stay, as ``key=value`` lines.
+def clean_form(fields: Column, phrases: Column, max_urls: Column, detect_honeypot: Column | bool = True, strip_trackers: Column | bool = True) -> Column:
+    """The fields that stay, as ``key=value`` lines, whatever the mode.
 
-    A filled honeypot wipes a blocked form; empty honeypots go silently; a field goes if it contains a
-    blocklisted phrase or, in list mode, if it is blocked by itself.
+    A filled honeypot wipes the form; empty honeypots go silently; another field goes if it contains a blocklisted
+    phrase (in its name, a blank and its value) or if its value by itself is blocked as a list. Where honeypots are
+    not watched they are fields like others. No fields give an empty text; lines are cleaned by ``clean_lines``.
     """
     empty = F.lit(None).cast("array<struct<k:string,v:string>>")
-    trap = F.coalesce(R.honeypot(fields), F.lit(False))
+    watch = F.lit(detect_honeypot) if isinstance(detect_honeypot, bool) else F.coalesce(detect_honeypot, F.lit(True))
+    trap = watch & F.coalesce(R.honeypot(fields), F.lit(False))
 
     def stays(f: Column) -> Column:
-        both = F.concat_ws(" ", f["k"], f["v"])
-        own = R.score_payload(both, empty, F.lit("list"), phrases, max_urls)
-        return ~F.lower(f["k"]).isin(*R.HONEYPOTS) & ~R.blocklisted(both, phrases) & ~((mode == "list") & (own["decision"] == "block"))
+        value = F.coalesce(f["v"], F.lit(""))
+        own = R.score_payload(value, empty, F.lit("list"), phrases, max_urls, detect_honeypot, strip_trackers)
+        named = watch & F.lower(f["k"]).isin(*R.HONEYPOTS)
+        return ~named & ~R.blocklisted(F.concat_ws(" ", f["k"], F.coalesce(f["v"], F.lit("null"))), phrases) & (own["decision"] != "block")
 
     return F.when(trap, F.lit("")).otherwise(R.form_text(F.filter(fields, stays)))

@@ -7,10 +7,11 @@ where the key is the line. Counts are combined before the shuffle, so a hot key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesieve.functions import text as T
+from lakesieve.functions.detect import detect_language
 from lakesieve.functions.jsonx import valid_json
 
 #: Lines that a document can have in a position.
@@ -60,8 +61,8 @@ def imports_first(uniques: DataFrame, order: str = "original") -> DataFrame:
     is_import = F.col("line").rlike(f"(?i)^[{T.WS}]*(?:import|from|require|use|#include){T.RB}")
     marked = uniques.withColumn("is_import", is_import)
     head = F.when(F.col("is_import"), F.upper("line"))
-    tail = {"original": F.col("pos"), "alpha-asc": F.upper("line"), "freq-desc": -F.col("n")}[order]
-    return marked.orderBy(F.col("is_import").desc(), head.asc(), tail.asc(), F.col("pos").asc()).drop("is_import")
+    tail = {"original": F.col("pos").asc(), "alpha-asc": F.upper("line").asc(), "alpha-desc": F.upper("line").desc(), "freq-desc": F.col("n").desc()}[order]
+    return marked.orderBy(F.col("is_import").desc(), head.asc(), tail, F.col("pos").asc()).drop("is_import")
 
 
 def stacked(uniques: DataFrame) -> DataFrame:
@@ -77,13 +78,33 @@ def stats(lines: DataFrame, uniques: DataFrame, count_blank: bool = False) -> Da
     return both.agg(F.sum("total").alias("total"), F.sum("remaining").alias("remaining")).select("total", (F.col("total") - F.col("remaining")).alias("removed"), "remaining")
 
 
+def code_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", strings: bool = False, numbers: bool = False, **filters) -> DataFrame:
+    """A3: (pos, id, line_no, line, key) of the lines of programs, also of blank ones, without block comments.
+
+    The language is that of the whole text; ``strings`` and ``numbers`` blank literals in the keys (N10). Null ids and
+    null texts have none.
+    """
+    text = T.eol(F.col(text_col))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text.alias("text"), detect_language(F.col(path_col), text).alias("language"))
+    bare = rows.select(id_col, "language", T.strip_blocks(F.col("text"), F.col("language")).alias("text"))
+    lines = T.lines_of(bare, "text", id_col, "language").select(id_col, "language", "line_no", T.raw_line(F.col("line")).alias("line"))
+    key = T.compare_filter(T.code_edges(T.code_metadata(T.strip_line_comments(F.col("line"), F.col("language")), strings, numbers)), **filters)
+    return lines.select((F.col(id_col).cast("long") * LINES + F.col("line_no")).alias("pos"), id_col, "line_no", "line", key.alias("key"))
+
+
 def csv_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A5 within every document: (id, pos, row, n, is_header).
 
-    The first row that is not blank is the header and always stays; blank rows and rows before it are dropped;
+    A line feed within quotes does not end a row. The first row that is not blank is the header and always stays; blank rows and rows before it are dropped;
     equal rows after it count once.
     """
-    raw = T.lines_of(docs.where(F.col(id_col).isNotNull()), text_col, id_col).where(T.js_trim(F.col("line")) != "")
+    lines = T.lines_of(docs.where(F.col(id_col).isNotNull()), text_col, id_col)
+    # A row goes on in the next line while a quote is open: the quotes before a line are odd in number.
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    before = F.coalesce(F.sum(quotes).over(Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head_no = F.max(F.when(F.col("before") % 2 == 0, F.col("line_no"))).over(Window.partitionBy(id_col).orderBy("line_no"))
+    whole = lines.withColumn("before", before).withColumn("row_no", head_no).groupBy(id_col, "row_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
+    raw = whole.select(id_col, F.col("row_no").alias("line_no"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line")).where(T.js_trim(F.col("line")) != "")
     groups = raw.groupBy(id_col, "line").agg(F.count("*").alias("n"), F.min("line_no").alias("pos"))
     head = raw.groupBy(id_col).agg(F.min("line_no").alias("head"))
     marked = groups.join(head, id_col).withColumn("is_header", F.col("pos") == F.col("head"))
@@ -96,9 +117,14 @@ def canonical_json(c: Column) -> Column:
     Numbers keep the engine's rendering: exponents, long integers and repeated keys may print differently from
     ECMAScript; such texts go through ``lakesieve.functions.jsonx`` instead.
     """
-    return F.coalesce(F.when(valid_json(c), F.to_json(F.try_parse_json(c))), c)
+    parsed = F.try_parse_json(c)
+    is_text = F.schema_of_variant(parsed) == "STRING"  # a text prints without quotes
+    return F.coalesce(F.when(valid_json(c), F.when(is_text, F.try_variant_get(parsed, "$", "string")).otherwise(F.to_json(parsed))), c)
 
 
 def unique_json(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, n, first) of JSON items: canonical form, number of items, smallest id."""
-    return items.where(F.col(text_col).isNotNull()).select(canonical_json(F.col(text_col)).alias("key"), F.col(id_col).alias("id")).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    """(key, n, first, item) of JSON items: canonical form, number of items, smallest id and the item with that id."""
+    keyed = items.where(F.col(text_col).isNotNull()).select(canonical_json(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("item"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    texts = keyed.groupBy(F.col("id").alias("first")).agg(F.min("item").alias("item"))
+    return groups.join(texts, "first").select("key", "n", "first", "item")

@@ -70,10 +70,11 @@ def duplicate_files(files: DataFrame, path: str = "path", content: str = "conten
 
     All copies stay if a file name occurs in several folders of the group, or if fewer than two copies are no
     entry points; else the canonical copy and the entry points stay: the shortest path (strategy ``shortest``),
-    then the first in locale order. Null paths and contents are left out; empty files are equal to each other.
+    then the first in locale order. Null paths and contents are left out; empty files are equal to each other; of
+    several contents of one path the one with the smallest hash counts.
     """
     rows = files.where(F.col(path).isNotNull() & F.col(content).isNotNull()).select(F.col(path).alias("path"), content_hash(F.col(content)).alias("hash"))
-    rows = rows.dropDuplicates(["path"]).withColumn("entry", entry_point(F.col("path")) if preserve_entries else F.lit(False))
+    rows = rows.groupBy("path").agg(F.min("hash").alias("hash")).withColumn("entry", entry_point(F.col("path")) if preserve_entries else F.lit(False))
     groups = rows.groupBy("hash").agg(F.count("*").alias("copies"), F.sum(F.when(~F.col("entry"), 1).otherwise(0)).alias("eligible")).where("copies > 1")
     rank = (F.length("path"), locale_key(F.col("path"))) if strategy == "shortest" else (locale_key(F.col("path")),)
     first = rows.where("not entry").groupBy("hash").agg(F.min_by("path", F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), F.col("path"))).alias("canonical"))

@@ -79,9 +79,10 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_forms(spark: SparkSession, d: str) -> DataFrame:
-    opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist")
+    """Requests with fields without what is blocked in them."""
+    opts = table(spark, d, "spam_opts").select("tenant", "max_urls", "blocklist", "detect_honeypot")
     q = table(spark, d, "score_requests", True).where("fields is not null").join(opts, "tenant", "left")
-    return q.select("request_id", C.clean_form(F.array_sort(R.fields_of_map(F.col("fields"))), F.col("blocklist"), F.coalesce("max_urls", F.lit(3)), F.col("mode")).alias("cleaned"))
+    return q.select("request_id", C.clean_form(F.array_sort(R.fields_of_map(F.col("fields"))), F.col("blocklist"), F.coalesce("max_urls", F.lit(3)), F.col("detect_honeypot")).alias("cleaned"))
 
 
 def usage_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -168,13 +169,20 @@ _RULES = [
     ("all_caps", "letters >= 12 AND length(regexp_replace(blob, '[^A-Z]', '', 'g')) / letters > 0.78"),
     ("repeated_tokens", "len(tokens) >= 6 AND list_max(map_values(list_histogram(tokens))) / len(tokens) > 0.45"),
 ]
-_SCORED = f"""WITH q AS (SELECT request_id, text, max_urls, blocklist, CASE WHEN fields IS NOT NULL THEN list_sort(map_entries(fields)) END AS ff FROM score_requests LEFT JOIN spam_opts USING (tenant)),
-  b AS (SELECT *, coalesce(text, CASE WHEN len(ff) > 0 THEN array_to_string(list_transform(ff, lambda f: f.key || '=' || coalesce(f.value, 'null')), chr(10)) END, '') AS blob FROM q),
+_STEPS = f"""b AS (SELECT *, coalesce(text, CASE WHEN len(ff) > 0 THEN array_to_string(list_transform(ff, lambda f: f.key || '=' || coalesce(f.value, 'null')), chr(10)) END, '') AS blob FROM q),
   n AS (SELECT *, {Q.spam_normalize('blob')} AS normalized, {_urls('blob')} AS urls, {_BARE} AS bare FROM b),
   t AS (SELECT *, length(regexp_replace(bare, '[^A-Za-z]', '', 'g')) AS letters, string_split(bare, '') AS chars, list_filter(string_split(normalized, ' '), lambda x: x <> '') AS tokens FROM n),
   s AS (SELECT request_id, normalized, {Q.trim('blob')} = '' AS blank, list_filter([{', '.join(f"CASE WHEN {cond} THEN {{'r': '{name}', 's': {R.SCORES[name]}::DOUBLE}} END" for name, cond in _RULES)}], lambda x: x IS NOT NULL) AS fired FROM t),
   o AS (SELECT request_id, normalized, CASE WHEN blank OR len(fired) = 0 THEN 0.0::DOUBLE ELSE list_max(list_transform(fired, lambda x: x.s)) END AS score, CASE WHEN blank THEN 'empty' ELSE array_to_string(list_transform(fired, lambda x: x.r), ',') END AS reasons, blank FROM s),
   z AS (SELECT *, CASE WHEN blank THEN 'soft_reject' WHEN score >= 0.72 THEN 'block' WHEN score >= 0.42 THEN 'soft_reject' ELSE 'allow' END AS decision FROM o)"""
+_SCORED = f"WITH q AS (SELECT request_id, text, max_urls, blocklist, CASE WHEN fields IS NOT NULL THEN list_sort(map_entries(fields)) END AS ff FROM score_requests LEFT JOIN spam_opts USING (tenant)), {_STEPS}"
+_TRAPS = ", ".join(map(Q.quoted, R.HONEYPOTS))
+#: Every field of a request scored by itself: its value is the text, request_id the field's number.
+_FORMS = f"""WITH f AS (SELECT request_id AS of, u.i AS i, u.e.key AS k, u.e.value AS v, max_urls, blocklist, coalesce(detect_honeypot, true) AS watch FROM (SELECT *, list_sort(map_entries(fields)) AS es FROM score_requests LEFT JOIN spam_opts USING (tenant) WHERE fields IS NOT NULL), unnest(es) WITH ORDINALITY AS u(e, i)),
+  q AS (SELECT of * 4096 + i AS request_id, coalesce(v, '') AS text, max_urls, blocklist, NULL::STRUCT(key VARCHAR, value VARCHAR)[] AS ff FROM f), {_STEPS},
+  m AS (SELECT f.*, watch AND lower(k) IN ({_TRAPS}) AS named, z.decision = 'block' OR len(list_filter(coalesce(f.blocklist, []), lambda p: p IS NOT NULL AND {Q.trim('p')} <> '' AND contains(lower(k || ' ' || coalesce(v, 'null')), lower({Q.trim('p')})))) > 0 AS bad FROM f JOIN z ON z.request_id = f.of * 4096 + f.i),
+  g AS (SELECT of, CASE WHEN bool_or(named AND {Q.trim("coalesce(v, '')")} <> '') THEN '' ELSE coalesce(string_agg(k || '=' || coalesce(v, 'null'), chr(10) ORDER BY i) FILTER (WHERE NOT named AND NOT bad), '') END AS cleaned FROM m GROUP BY 1)
+  SELECT r.request_id, coalesce(g.cleaned, '') AS cleaned FROM score_requests r LEFT JOIN g ON g.of = r.request_id WHERE r.fields IS NOT NULL"""
 _KEPT = f"list_filter(list_sort(map_entries(fields)), lambda f: lower(f.key) NOT IN ({', '.join(map(Q.quoted, R.HONEYPOTS))}))"
 _CANON = f"'{{' || array_to_string(list_transform({_KEPT}, lambda f: to_json(lower(f.key))::VARCHAR || ':' || to_json({Q.spam_normalize('f.value')})::VARCHAR), ',') || '}}'"
 
@@ -189,6 +197,7 @@ ORACLES = {
       s AS (SELECT delivery_id, l, CASE WHEN strpos(l, '=') > 1 AND (strpos(l, ':') = 0 OR strpos(l, '=') < strpos(l, ':')) THEN strpos(l, '=') WHEN strpos(l, ':') > 1 THEN strpos(l, ':') END AS cut FROM p)
       SELECT delivery_id, {Q.trim('substring(l, 1, cut - 1)')} AS name, length({Q.trim('substring(l, cut + 1)')})::INTEGER AS length FROM s WHERE cut IS NOT NULL""",
     "form_fingerprint": f"SELECT request_id, {Q.fnv1a32('c')} AS fingerprint FROM (SELECT request_id, {_CANON} AS c FROM score_requests WHERE fields IS NOT NULL)",
+    "clean_forms": _FORMS,
     "usage_daily": "SELECT tenant, received_at::DATE AS day, count(*) AS calls FROM check_requests WHERE received_at IS NOT NULL GROUP BY 1, 2",
     "usage_history": "WITH u AS (SELECT received_at::DATE AS day, count(*) AS calls FROM check_requests WHERE received_at IS NOT NULL GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT max(day) FROM u) - INTERVAL 6 DAY, (SELECT max(day) FROM u), INTERVAL 1 DAY))::DATE AS day) SELECT s.day, coalesce(calls, 0) AS calls FROM s LEFT JOIN u USING (day)",
     "quota_cutoff": "SELECT tenant, count(*) AS calls, sum(CASE WHEN daily_limit IS NULL OR rn <= floor(daily_limit / 100) THEN 1 ELSE 0 END)::BIGINT AS admitted FROM (SELECT tenant, daily_limit, row_number() OVER (PARTITION BY tenant, received_at::DATE ORDER BY received_at, delivery_id) AS rn FROM check_requests LEFT JOIN tenants USING (tenant)) GROUP BY 1",

@@ -116,7 +116,7 @@ def _pts(cond: str, n: int) -> str:
     return f"CASE WHEN {cond} THEN {n} ELSE 0 END"
 
 
-def _sniff_sql() -> str:
+def sniff_sql() -> str:
     s = {m: ["0"] for m in X.MODES}
     s["txt"].append("1")
     for mode, extensions in X.DATA.items():
@@ -142,7 +142,7 @@ def _sniff_sql() -> str:
       SELECT doc_id, CASE WHEN {_isin('ext', X.SKIP)} THEN 'skip' ELSE best.mode END AS mode, round(CASE WHEN {_isin('ext', X.SKIP)} THEN 1.0 ELSE least(1.0, best.score / 25) END, 4) AS confidence FROM e"""
 
 
-def _language_sql() -> str:
+def language_sql() -> str:
     ranked = []
     for i, (name, extensions, imports, keywords) in enumerate(X.LANGUAGES):
         parts = [_pts(_isin("ext", extensions.split()), 25), *(_pts(f"regexp_matches(sample, {Q.re2(p)})", 8) for p in imports), *(_pts(f"regexp_matches(sample, {Q.re2(p)})", 4) for p in keywords)]
@@ -156,7 +156,7 @@ def _language_sql() -> str:
 _LOCALE = "translate({p}, '_-,;:!?./', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11))"
 _P = "lower(regexp_replace(regexp_replace(replace(path, chr(92), '/'), '^/+', ''), '/+', '/', 'g'))"
 _BASE = "lower(string_split(path, '/')[-1])"
-_DUPS = f"""f AS (SELECT path, sha256(any_value(text)) AS hash FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY path),
+_DUPS = f"""f AS (SELECT path, min(sha256(text)) AS hash FROM documents WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY path),
   e AS (SELECT *, {_BASE} AS base, string_split({_BASE}, '.')[1] IN ('index', 'main', 'app', '__init__', 'mod') AS entry, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f),
   g AS (SELECT hash, count(*) AS copies, count(*) FILTER (WHERE NOT entry) AS eligible FROM e GROUP BY 1 HAVING count(*) > 1),
   s AS (SELECT hash, max(n) AS folders FROM (SELECT hash, base, count(DISTINCT folder) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
@@ -172,8 +172,8 @@ _CLUSTERS = f"""WITH RECURSIVE {_MEDIA}, u AS (SELECT a AS x, b AS y FROM p UNIO
 _SHARE = "list_transform(list_transform(embedding[{a}:{b}], lambda x: abs(x)::DOUBLE), lambda x: x / list_sum(list_transform(embedding[{a}:{b}], lambda y: abs(y)::DOUBLE)))"
 
 ORACLES = {
-    "format_sniff": _sniff_sql(),
-    "language_detect": _language_sql(),
+    "format_sniff": sniff_sql(),
+    "language_detect": language_sql(),
     "path_skip": f"SELECT doc_id, list_contains(string_split(p, '/'), 'projects') OR ends_with(p, '.eml') OR p = 'shared/2023' OR starts_with(p, 'shared/2023/') OR ends_with(p, '/shared/2023') OR contains(p, '/shared/2023/') OR regexp_matches(p, '^backup/r.*$') AS skipped, len(list_filter(string_split(p, '/'), lambda x: x IN ('node_modules', '.git', '.svn', '.hg', 'dist', 'build', '.next', 'coverage', 'out', 'vendor', '__pycache__', '.cache'))) > 0 AS ignored FROM (SELECT doc_id, {_P} AS p FROM documents WHERE path IS NOT NULL)",
     "exact_file_dups": f"WITH {_DUPS} SELECT path, copies, kept, canonical FROM r",
     "folder_summary": f"WITH {_DUPS} SELECT (SELECT count(DISTINCT path) FROM documents) AS files, count(DISTINCT hash) AS groups, count(*) FILTER (WHERE NOT kept) AS removed, (SELECT count(DISTINCT path) FROM documents) - count(*) FILTER (WHERE NOT kept) AS kept FROM r",

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesieve.functions import detect as X
 from lakesieve.functions import text as T
 from lakesieve.operators import dedupe as D
 from lakesieve.operators.leaders import leader_lines
 from lakesieve.operators.verify import line_checks
 from lakesieve.plans import sqltext as Q
+from lakesieve.plans.files import language_sql, sniff_sql
 from lakesieve.session import spread, table
 
 
 def _docs(spark: SparkSession, d: str, fmt: str | None = None) -> DataFrame:
-    docs = spread(table(spark, d, "documents").select("doc_id", "text", "format"))
-    return docs if fmt is None else docs.where(F.col("format") == fmt)
+    """The documents; or those of a format, which is sniffed where none is declared."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "format", "path"))
+    if fmt is None:
+        return docs
+    sniffed = X.sniff_format(F.col("path"), T.eol(F.col("text")))["mode"]
+    return docs.where((F.col("format") == fmt) | (F.col("format").isNull() & (sniffed == fmt)))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -88,15 +94,18 @@ def todo_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_strip(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of programs without block comments, line comments, indent and trailing separators."""
-    code = _docs(spark, d, "code").where("text is not null").select("doc_id", T.strip_blocks(T.eol(F.col("text"))).alias("text"))
-    lines = T.lines_of(code, "text", "doc_id")
-    return lines.select("doc_id", "line_no", T.code_edges(T.cut_at(T.raw_line(F.col("line")), "//", "#", "--")).alias("key"))
+    """Lines of programs without block comments, line comments of their language, indent and trailing separators."""
+    return D.code_lines(_docs(spark, d, "code")).select("doc_id", "line_no", "key")
 
 
 def code_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    code = _docs(spark, d, "code").where("text is not null").select("doc_id", T.strip_blocks(T.eol(F.col("text"))).alias("text"))
-    return D.unique_lines(D.keyed_lines(D.positioned(code), fmt="code"))
+    return D.unique_lines(D.code_lines(_docs(spark, d, "code")).where("line <> ''").select("pos", "line", "key"))
+
+
+def code_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of programs compared without their literals, import lines first in upper case."""
+    lines = D.code_lines(_docs(spark, d, "code"), strings=True, numbers=True, ignore_punct=True, collapse_ws=True).where("line <> ''")
+    return D.imports_first(D.unique_lines(lines.select("pos", "line", "key")), "alpha-desc").select("line", "n", "pos")
 
 
 def csv_row_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_dedupe_exact, line_dedupe_caps, line_dedupe_punct_ws, line_filter_duplicates, line_filter_singletons, line_sorted_freq, line_stacked, line_stats, line_bullets, verify_lines, log_strip,
-        log_dedupe, event_log_dedupe, todo_dedupe, code_strip, code_dedupe, csv_row_dedupe, json_canonical_dedupe, leader_dedupe, word_jaccard, path_parts, event_ids,
+        log_dedupe, event_log_dedupe, todo_dedupe, code_strip, code_dedupe, code_literals, csv_row_dedupe, json_canonical_dedupe, leader_dedupe, word_jaccard, path_parts, event_ids,
     )
 }
 
@@ -145,22 +154,43 @@ def _first(key: str, raw: str = Q.RAW) -> str:
     return f"SELECT arg_min(line, pos) AS line, count(*) AS n, min(pos) AS pos FROM (SELECT *, {key} AS key FROM ({raw})) GROUP BY key"
 
 
+def _is(fmt: str) -> str:
+    """Whether a document is of a format, sniffed where none is declared."""
+    return f"(format = '{fmt}' OR (format IS NULL AND doc_id IN (SELECT doc_id FROM ({sniff_sql()}) WHERE mode = '{fmt}')))"
+
+
 def _of(fmt: str, text: str = "text") -> str:
     """Lines that are not blank of the documents of a format, with position."""
-    lines = f"SELECT doc_id, u.i - 1 AS line_no, u.l AS line FROM (SELECT doc_id, {text} AS text FROM documents WHERE format = '{fmt}' AND text IS NOT NULL), unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i)"
+    lines = f"SELECT doc_id, u.i - 1 AS line_no, u.l AS line FROM (SELECT doc_id, {text} AS text FROM documents WHERE {_is(fmt)} AND text IS NOT NULL), unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i)"
     return f"SELECT * FROM (SELECT doc_id * 16777216 + line_no AS pos, doc_id, line_no, {Q.raw_line('line')} AS line FROM ({lines}))"
 
 
-def _no_blocks(expr: str) -> str:
-    for p in ("(?s)/\\*.*?\\*/", '(?s)""".*?"""', "(?s)'''.*?'''", "(?s)<!--.*?-->"):
-        expr = Q.sub(expr, p)
+def _cut(expr: str, *markers: str) -> str:
+    for m in markers:
+        expr = f"string_split({expr}, '{m}')[1]"
     return expr
 
 
+def _programs() -> str:
+    """Lines of programs with their keys, written from the profiles of the languages."""
+    bare = Q.eol("text")
+    for p in ("(?s)/\\*.*?\\*/", '(?s)""".*?"""', "(?s)'''.*?'''", "(?s)<!--.*?-->"):
+        bare = Q.sub(bare, p)
+    bare = f"CASE language WHEN 'powershell' THEN {Q.sub(bare, '(?s)<#.*?#>')} WHEN 'lua' THEN {Q.sub(bare, '(?s)--' + chr(92) + '[' + chr(92) + '[.*?' + chr(92) + ']' + chr(92) + ']')} ELSE {bare} END"
+    cut = f"""CASE WHEN language IN ('javascript', 'typescript', 'go', 'rust', 'java', 'csharp', 'swift', 'dart') THEN {_cut('line', '//')}
+      WHEN language IN ('python', 'ruby', 'shell', 'powershell', 'r') THEN {_cut('line', '#')} WHEN language IN ('sql', 'lua') THEN {_cut('line', '--')}
+      WHEN language = 'php' THEN {_cut('line', '//', '#')} WHEN language = 'css' THEN line WHEN language = 'html' THEN {Q.sub('line', '<!--.*?-->')}
+      ELSE {_cut('line', '//', '#', '--')} END"""
+    key = Q.sub(Q.sub(Q.trim("cut"), f"^[{T.WS}]+"), f"[;,][{T.WS}]*$")
+    return f"""SELECT doc_id * 16777216 + line_no AS pos, doc_id, line_no, line, {key} AS key, {Q.trim('cut')} AS cut FROM (SELECT *, {cut} AS cut FROM (
+      SELECT doc_id, language, u.i - 1 AS line_no, {Q.raw_line('u.l')} AS line FROM (SELECT doc_id, language, {bare} AS text FROM documents JOIN ({language_sql()}) USING (doc_id) WHERE {_is('code')} AND text IS NOT NULL),
+      unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(l, i)))"""
+
+
 _TODO = Q.trim(Q.sub(Q.sub("line", T.CHECKBOX), T.TODO_PREFIX))
-_CODE = Q.sub(Q.sub(Q.trim("string_split(string_split(string_split(line, '//')[1], '#')[1], '--')[1]"), f"^[{T.WS}]+"), f"[;,][{T.WS}]*$")
+_LITERAL = Q.squeeze(Q.no_punct(Q.sub(Q.sub(Q.sub(Q.sub(Q.sub('cut', '["\'`].*?["\'`]', '""'), '\\b0x[0-9a-fA-F]+\\b', '0'), '\\b[0-9]+(?:\\.[0-9]+)?\\b', '0'), f'^[{T.WS}]+'), f'[;,][{T.WS}]*$')))
 _STATS = f"SELECT (SELECT count(*) FROM ({Q.RAW})) AS total, (SELECT count(*) FROM ({Q.RAW})) - (SELECT count(DISTINCT line) FROM ({Q.RAW})) AS removed, (SELECT count(DISTINCT line) FROM ({Q.RAW})) AS remaining"
-_CSV = f"SELECT doc_id, u.i - 1 AS line_no, u.l AS line FROM documents, unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i) WHERE format = 'csv' AND text IS NOT NULL AND {Q.trim('u.l')} <> ''"
+_CSV = f"SELECT doc_id, u.i - 1 AS line_no, u.l AS line FROM documents, unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i) WHERE {_is('csv')} AND text IS NOT NULL"
 _EVENT_LINE = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' /u/' || (user_id % 50)::VARCHAR || ' status=200 id=' || event_id::VARCHAR"
 
 ORACLES = {
@@ -178,10 +208,13 @@ ORACLES = {
     "log_dedupe": _first(Q.strip_log("line"), f"SELECT * FROM ({_of('log')}) WHERE line <> ''"),
     "event_log_dedupe": _first(Q.strip_log("line"), f"SELECT event_id AS pos, {_EVENT_LINE} AS line FROM events"),
     "todo_dedupe": f"SELECT coalesce(arg_max(line, pos) FILTER (WHERE done), arg_min(line, pos)) AS line, count(*) AS n, coalesce(max(pos) FILTER (WHERE done), min(pos)) AS pos FROM (SELECT *, {_TODO} AS key, contains(lower(line), '[x]') OR contains(upper(line), 'DONE:') AS done FROM ({_of('todo')}) WHERE line <> '') GROUP BY key",
-    "code_strip": f"SELECT doc_id, line_no::INTEGER AS line_no, {_CODE} AS key FROM ({_of('code', _no_blocks(Q.eol('text')))})",
-    "code_dedupe": _first(_CODE, f"SELECT * FROM ({_of('code', _no_blocks(Q.eol('text')))}) WHERE line <> ''"),
-    "csv_row_dedupe": f"WITH r AS ({_CSV}), h AS (SELECT doc_id, min(line_no) AS head FROM r GROUP BY 1) SELECT r.doc_id, min(line_no)::INTEGER AS pos, line AS row, count(*) AS n, min(line_no) = any_value(head) AS is_header FROM r JOIN h USING (doc_id) GROUP BY r.doc_id, line",
-    "json_canonical_dedupe": "SELECT replace(replace(props, ' ', ''), chr(10), '') AS key, count(*) AS n, min(event_id) AS \"first\" FROM events WHERE props IS NOT NULL GROUP BY 1",
+    "code_strip": f"SELECT doc_id, line_no::INTEGER AS line_no, key FROM ({_programs()})",
+    "code_dedupe": f"SELECT arg_min(line, pos) AS line, count(*) AS n, min(pos) AS pos FROM ({_programs()}) WHERE line <> '' GROUP BY key",
+    "code_literals": f"SELECT arg_min(line, pos) AS line, count(*) AS n, min(pos) AS pos FROM (SELECT *, {_LITERAL} AS k FROM ({_programs()}) WHERE line <> '') GROUP BY k",
+    "csv_row_dedupe": f"""WITH l AS ({_CSV}), q AS (SELECT *, coalesce(sum(length(line) - length(replace(line, chr(34), ''))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS open FROM l),
+      g AS (SELECT *, max(CASE WHEN open = 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS row_no FROM q), r AS (SELECT doc_id, row_no AS line_no, string_agg(line, chr(10) ORDER BY g.line_no) AS line FROM g GROUP BY 1, 2),
+      f AS (SELECT * FROM r WHERE {Q.trim('line')} <> ''), h AS (SELECT doc_id, min(line_no) AS head FROM f GROUP BY 1) SELECT f.doc_id, min(line_no)::INTEGER AS pos, line AS row, count(*) AS n, min(line_no) = any_value(head) AS is_header FROM f JOIN h USING (doc_id) GROUP BY f.doc_id, line""",
+    "json_canonical_dedupe": "SELECT replace(replace(props, ' ', ''), chr(10), '') AS key, count(*) AS n, min(event_id) AS \"first\", arg_min(props, event_id) AS item FROM events WHERE props IS NOT NULL GROUP BY 1",
     "word_jaccard": f"""SELECT request_id, round(CASE WHEN text = normalized THEN 1 WHEN len({Q.words('text')}) = 0 OR len({Q.words('normalized')}) = 0 THEN 0
       ELSE len(list_intersect({Q.words('text')}, {Q.words('normalized')})) / len(list_distinct(list_concat({Q.words('text')}, {Q.words('normalized')}))) END, 6) AS similarity
       FROM score_requests JOIN (SELECT request_id, min(normalized) AS normalized FROM score_results GROUP BY 1) USING (request_id) WHERE text IS NOT NULL""",
