@@ -1,46 +1,34 @@
-"""Option sets with their defaults, and the presets of folder runs."""
+"""Option sets of folder runs with their defaults, and the presets."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
-class SpamOptions:
-    mode: str = "form"
-    detect_honeypot: bool = True
-    strip_trackers: bool = True
-    similarity: float = 0.85
-    block_score: float = 0.72
-    soft_score: float = 0.42
-    window_ms: int = 120_000
-    max_urls: int = 3
-    blocklist: tuple[str, ...] = ()
-
+class FolderScope:
+    """What a folder run does. ``keep_file`` and ``keep_line`` are patterns of markers that protect a file or a line."""
 
-@dataclass(frozen=True)
-class LineOptions:
+    remove_files: bool = True
+    within_lines: bool = True
+    within_code: bool = False
+    across_lines: bool = True
+    code_blocks: bool = True
+    remove_blocks: bool = False
+    preserve_entries: bool = True
+    strategy: str = "shortest"
+    ignore: tuple[str, ...] = ("node_modules", "git", "dist", "vendor")
+    manual_skips: str = ""
+    keep_file: str = r"dedupe:\s*keep\b"
+    keep_line: str = r"dedupe:\s*keep-line\b"
     ignore_case: bool = False
     ignore_punct: bool = False
     collapse_ws: bool = False
-    similarity: float = 1.0
-    order: str = "original"
-    filter: str = "all"
-    stack: bool = False
-
-
-@dataclass(frozen=True)
-class FolderScope:
-    remove_files: bool = True
-    within_lines: bool = True
-    across_lines: bool = False
-    code_blocks: bool = False
-    ignore: tuple[str, ...] = field(default=("node_modules", "git", "dist", "vendor"))
 
 
 PRESETS = {
     "safe": FolderScope(),
-    "data": FolderScope(across_lines=True),
-    "report": FolderScope(remove_files=False, within_lines=False),
-    "aggressive": FolderScope(across_lines=True, code_blocks=True),
+    "data": FolderScope(remove_files=False, code_blocks=False),
+    "report": FolderScope(remove_files=False, within_lines=False, across_lines=False),
+    "aggressive": FolderScope(within_code=True, remove_blocks=True),
 }

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lakesieve.functions import detect as X
 from lakesieve.functions import text as T
+from lakesieve.functions.jsonx import rendered
 from lakesieve.operators import folder as P
 from lakesieve.operators import media as M
+from lakesieve.operators.project import process_project
 from lakesieve.plans import sqltext as Q
 from lakesieve.session import spread, table
 
@@ -17,6 +19,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "path", F.col("text").alias("content")))
 
 
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    """The files of any code format, by their extension."""
+    return _files(spark, d).where(T.extension(F.col("path")).isin(*X.CODE))
+
+
 def format_sniff(spark: SparkSession, d: str) -> DataFrame:
     s = X.sniff_format(F.col("path"), T.eol(F.col("content")))
     return _files(spark, d).select("doc_id", s.alias("s")).select("doc_id", "s.mode", F.round("s.confidence", 4).alias("confidence"))
@@ -49,8 +56,25 @@ def cross_file_lines(spark: SparkSession, d: str) -> DataFrame:
     return P.cross_file_lines(one).groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.when(~F.col("kept"), 1).otherwise(0)).cast("long").alias("removed"))
 
 
+def folder_project(spark: SparkSession, d: str) -> DataFrame:
+    """A whole folder run on the documents: what became of every file."""
+    files, _ = process_project(table(spark, d, "documents"), "safe", content="text")
+    return files.select("path", "format", "deleted", "modified", "removed_lines", F.length("content").alias("characters"))
+
+
+def folder_project_stats(spark: SparkSession, d: str) -> DataFrame:
+    return process_project(table(spark, d, "documents"), "aggressive", content="text")[1]
+
+
+def json_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of JSON without repeated items, printed anew: lines and characters."""
+    docs = spread(table(spark, d, "documents").where("format = 'json' and text is not null").select("doc_id", "text"))
+    lines = docs.select("doc_id", rendered(F.col("text")).alias("lines"))
+    return lines.select("doc_id", F.size("lines").alias("lines"), F.length(F.array_join("lines", "\n")).alias("characters"))
+
+
 def code_block_dups(spark: SparkSession, d: str) -> DataFrame:
-    return P.duplicate_blocks(P.code_blocks(_files(spark, d).where(F.col("path").rlike("\\.(py|js|ts)$"))))
+    return P.duplicate_blocks(P.code_blocks(_programs(spark, d)))
 
 
 def _media(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +105,7 @@ def within_file_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def code_without_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Programs without repeated blocks: characters left, by file."""
-    files = _files(spark, d).where(F.col("path").rlike("\\.(py|js|ts)$"))
+    files = _programs(spark, d)
     return P.remove_blocks(files, P.code_blocks(files)).select("path", F.length("content").alias("characters"))
 
 
@@ -105,7 +129,7 @@ def dimension_gate(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w")).alias("resized"), M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w"), False).alias("same_size"))
 
 
-QUERIES = {f.__name__: f for f in (format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, within_file_lines, code_without_blocks, media_pairs, media_clusters, canonical_media, media_target, hue_similarity, dimension_gate)}
+QUERIES = {f.__name__: f for f in (folder_project, folder_project_stats, json_rendered, format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, within_file_lines, code_without_blocks, media_pairs, media_clusters, canonical_media, media_target, hue_similarity, dimension_gate)}
 
 
 def _isin(expr: str, values) -> str:

@@ -204,3 +204,43 @@ def test_blocks_and_lines_within_files(spark):
 def test_target(spark):
     items = spark.createDataFrame([(1, 0), (2, 7), (3, -1), (4, None)], "item long, dhash long")
     assert {(r.item, r.distance) for r in M.matches_of_target(items, {"dhash": 1}).collect()} == {(1, 1), (2, 2)}
+
+
+def test_folder_project(spark):
+    from lakesieve.operators.project import process_project
+
+    users = "name,email\nalice,a@x.com\nbob,b@x.com\nalice,a@x.com"
+    log = "[2024-01-01] INFO Started\n[2024-01-01] INFO Started\n[2024-01-02] ERROR fail"
+    rows = [
+        ("my-project/data/users.csv", users, "csv"), ("my-project/backup/users-copy.csv", users, "csv"), ("my-project/logs/app.log", log, "log"),
+        ("my-project/logs/app.log.bak", log, "log"), ("my-project/readme.md", "# My Project\n# My Project\nSetup complete.", "txt"), ("node_modules/x.js", "a", None), (None, "x", None),
+    ]
+    files, stats = process_project(spark.createDataFrame(rows, "path string, content string, format string"), "safe", fmt="format")
+    s = stats.first()
+    assert (s.files, s.files_removed, s.duplicate_groups, s.lines_removed, s.files_modified, s.files_kept) == (5, 1, 2, 6, 5, 4)
+    left = {r.path: r.content for r in files.where("not deleted").collect()}
+    assert left["my-project/readme.md"] == "# My Project\nSetup complete." and left["my-project/logs/app.log.bak"] == "" and "my-project/backup/users-copy.csv" not in left
+    kept = [("a.txt", "one\n\ntwo # dedupe: keep-line\nthree", "txt"), ("b.txt", "three\none\nfour", "txt"), ("c.txt", "# dedupe: keep\none\none", "txt")]
+    from lakesieve.options import FolderScope
+
+    scope = FolderScope(keep_file=r"dedupe:\s*keep(?!-)")
+    files, _ = process_project(spark.createDataFrame(kept, "path string, content string, format string"), scope, fmt="format")
+    left = {r.path: r.content for r in files.collect()}
+    assert left == {"a.txt": "one\ntwo # dedupe: keep-line\nthree", "b.txt": "three\nfour", "c.txt": "# dedupe: keep\none\none"}
+    empty, none = process_project(spark.createDataFrame([], "path string, content string"), "aggressive")
+    assert empty.count() == 0 and none.first().files == 0
+
+
+def test_json_rendering_and_keys(spark):
+    from lakesieve.functions.jsonx import render
+    from lakesieve.functions.text import comparison_key
+
+    assert render('{"b":1,"a":2}\n{"a":2,"b":1}\n"x"\nnot json') == ['{"b":1,"a":2}', "x", "not json"]
+    assert render("[1, 1.0, 100, 1e2]", stack=True) == ["x2 1", "x2 100"]
+    assert render('[{"a": []}, {"a": []}]') == ["[", "  {", '    "a": []', "  }", "]"]
+    df = spark.createDataFrame([('{"b": 1, "a": 2}',), ("x",)], "line string")
+    assert [r[0] for r in df.select(comparison_key(F.col("line"), fmt="json")).collect()] == ['{"a":2,"b":1}', "x"]
+    code = spark.createDataFrame([("x = a // b + c  # half", "python"), ("i = n--;", "css"), ("a(); // b", "java"), ("<p>k</p><!-- c -->", "html")], "line string, lang string")
+    from lakesieve.functions.text import strip_line_comments
+
+    assert [r[0] for r in code.select(strip_line_comments(F.col("line"), F.col("lang"))).collect()] == ["x = a // b + c", "i = n--;", "a();", "<p>k</p>"]
