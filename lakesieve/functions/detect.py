@@ -128,3 +128,27 @@ def _language(ext: Column, sample: Column) -> Column:
             score = score + _points(sample.rlike(pattern), points)
         ranked.append(F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))
     return let(F.array_max(F.array(*ranked)), lambda best: F.when(best["score"] > 0, best["name"]).otherwise("generic"))
+
+
+def legacy_format(content: Column) -> Column:
+    """The format that the first 15 lines show; used where the sniffed one is not sure enough."""
+    t = F.regexp_replace(F.regexp_replace(content, f"^{S}+", ""), f"{S}+\\z", "")
+    lines = F.split(t, "\n")
+    head = F.array_join(F.slice(lines, 1, 15), "\n")
+    ends = F.regexp_replace(head, f"{S}+\\z", "")
+    first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
+    cells = lambda x: F.size(F.split(x, ","))
+    return (
+        F.when(head.rlike("\\[[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]") | head.rlike(f"(?i){LB}PID[:=]?{S}*\\[?[0-9]+|{LB}VALUES{S}*\\("), "log")
+        .when((ends.startswith("{") & ends.endswith("}")) | (ends.startswith("[") & ends.endswith("]")), "json")
+        .when(head.rlike(f"^{S}*(?:[*+-]|[0-9]+\\.)?{S}*\\[[ xX_/]\\]|^(?i){S}*(?:TODO|DONE|WAITING|COMPLETED):{S}*"), "todo")
+        .when(head.rlike(f"{LB}(?:import|export|function|const|let|var|class|def|return){RB}|^{S}*(?://|#){S}+"), "code")
+        .when((F.size(lines) > 1) & (cells(first) > 2) & (cells(second) == cells(first)), "csv")
+        .otherwise("txt")
+    )
+
+
+def detected_format(path: Column, content: Column, threshold: float = 0.2) -> Column:
+    """The sniffed format where its confidence reaches ``threshold``, else what the first lines show."""
+    sniffed = sniff_format(path, content)
+    return F.when(sniffed["confidence"] >= threshold, sniffed["mode"]).otherwise(legacy_format(content))

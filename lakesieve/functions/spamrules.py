@@ -215,3 +215,9 @@ def _score(text: Column, normalized: Column, fields: Column, mode: Column, phras
         return let(score, lambda s: F.struct(s.alias("score"), reasons.alias("reasons"), decision(s).alias("decision"), finger.alias("fingerprint"), normalized.alias("normalized"), mode.alias("mode")))
 
     return let(fired, result)
+
+
+def has_input(text: Column, payload: Column, fields: Column, event_id: Column) -> Column:
+    """Whether a request has anything to check: a text or payload that is not empty, fields, or an id that is not blank."""
+    some = lambda c: F.coalesce(c != "", F.lit(False))
+    return some(text) | some(payload) | fields.isNotNull() | some(js_trim(event_id))

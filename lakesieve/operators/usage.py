@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesieve.functions.text import blocklist
+
 
 def daily_usage(calls: DataFrame, tenant: str, ts: str) -> DataFrame:
     """(tenant, day, calls) by UTC day. A null tenant is counted as one of its own, null times are left out."""
@@ -40,3 +42,22 @@ def newest(calls: DataFrame, tenant: str, ts: str, order: str, most: int = 100)
 def effective_plan(plan: Column, status: Column) -> Column:
     """The plan counts only while its subscription is active or on trial, else guest."""
     return F.when(status.isin("active", "trialing"), plan).otherwise("guest")
+
+
+def put_blocklists(stored: DataFrame, updates: DataFrame) -> DataFrame:
+    """(tenant, phrases) after updates of the same form, which replace a tenant's list; an empty tenant is the global one.
+
+    Phrases are trimmed, blank and overlong ones dropped. Of several updates of a tenant the longest list counts.
+    """
+    fresh = updates.select(F.coalesce("tenant", F.lit("")).alias("tenant"), blocklist(F.col("phrases")).alias("phrases"))
+    fresh = fresh.groupBy("tenant").agg(F.max_by("phrases", F.struct(F.size("phrases"), F.array_join("phrases", "\n"))).alias("phrases"))
+    return stored.select("tenant", "phrases").join(fresh, "tenant", "left_anti").unionByName(fresh)
+
+
+def with_blocklists(requests: DataFrame, stored: DataFrame, own: str = "blocklist") -> DataFrame:
+    """``requests`` with ``phrases``: their own list, then the stored one of their tenant, else the global one."""
+    lists = stored.where("tenant <> ''").select("tenant", F.col("phrases").alias("_t"))
+    shared = stored.where("tenant = ''").select(F.col("phrases").alias("_g")).limit(1)
+    each = requests.join(lists, "tenant", "left").join(F.broadcast(shared), F.lit(True), "left")  # one row at most
+    none = F.array().cast("array<string>")
+    return each.withColumn("phrases", F.concat(F.coalesce(own, none), F.coalesce("_t", "_g", none))).drop("_t", "_g")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesieve.session import materialize
@@ -22,6 +22,45 @@ def line_checks(stats: DataFrame) -> DataFrame:
     return stats.select(F.explode(rows).alias("x")).select("x.check", "x.ok")
 
 
+def _checked(stats: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()))
+    return stats.select(F.explode(rows).alias("x")).select("x.check", "x.ok")
+
+
+def folder_checks(before: DataFrame, after: DataFrame, stats: DataFrame) -> DataFrame:
+    """V2: (check, ok) of a folder run: ``before`` and ``after`` are files (path, content, ...), stats its counts."""
+    filled = lambda df: df.select(F.coalesce(F.sum(F.size(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""))), F.lit(0)).alias("n"), F.count("*").alias("f"))
+    old, new = filled(before), filled(after.where("not deleted")).withColumnRenamed("n", "m").drop("f")
+    return _checked(
+        stats.crossJoin(old).crossJoin(new),  # one row each
+        {
+            "files_accounted": F.col("files_kept") >= 0, "no_negative": (F.col("files_removed") >= 0) & (F.col("lines_removed") >= 0),
+            "kept_plus_removed": F.col("files_kept") + F.col("files_removed") <= F.col("f"), "lines_not_increased": F.col("m") <= F.col("n"),
+        },
+    )
+
+
+def media_checks(items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """V3: (check, ok) of a media run: every component keeps one item, and no item is new."""
+    per = clusters.groupBy("component").agg(F.count_if("kept").alias("kept")).agg(F.coalesce(F.bool_and(F.col("kept") == 1), F.lit(True)).alias("ok"))
+    new = clusters.join(items, "path", "left_anti").agg((F.count("*") == 0).alias("ok"))
+    return per.select(F.lit("one_kept").alias("check"), "ok").union(new.select(F.lit("none_new").alias("check"), "ok"))
+
+
+def benchmark_summary(runs: DataFrame) -> DataFrame:
+    """One row of runs (total, removed, ms): mean share removed in percent, best lines a second, largest total."""
+    return runs.agg(F.round(F.avg(F.col("removed") / F.col("total")) * 100, 1).alias("average_reduction"), F.max(F.round(F.col("total") * 1000 / F.col("ms"))).cast("long").alias("peak_throughput"), F.max("total").alias("largest"))
+
+
+def ladder(run: Callable[[str, float, bool], DataFrame], fmt: str, similarity: float, accept: Callable[[DataFrame], bool], fast: bool = False) -> tuple[int, DataFrame]:
+    """V4, V6: ``run(format, similarity, normalised)`` as asked, then as plain text, then with relaxed matching.
+
+    The first accepted result counts, else the last one. ``fast`` skips the checks and takes the first result.
+    """
+    steps = [lambda: run(fmt, similarity, False), lambda: run("txt", similarity, False), lambda: run(fmt, relaxed(similarity, 2), True)]
+    return first_passing(steps[:1] if fast else steps, (lambda df: True) if fast else accept)
+
+
 def key_checks(before: DataFrame, after: DataFrame, key: str = "key") -> DataFrame:
     """V1: (check, ok): every key is left, none is new, and none is left twice."""
     b, a = before.select(key).distinct(), after.select(key)

@@ -130,6 +130,32 @@ def event_replay(spark: SparkSession, d: str) -> DataFrame:
     return E.replay(c.select("tenant", "delivery_id", T.js_trim(F.col("event_id")).alias("event_id"), "fingerprint", T.spam_normalize(F.col("payload")).alias("normalized"), F.col("received_at").alias("at"), "window_ms", "remember"))
 
 
+def event_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries scored and decided one after another, with their tenant's memory."""
+    opts = table(spark, d, "spam_opts").select("tenant", F.col("burst_window_ms").alias("window_ms"), "max_urls", "blocklist")
+    c = table(spark, d, "check_requests", True).join(opts, "tenant", "left")
+    empty = F.lit(None).cast("array<struct<k:string,v:string>>")
+    s = R.score_payload(F.coalesce("payload", F.lit("")), empty, F.lit("list"), F.col("blocklist"), F.coalesce("max_urls", F.lit(3)))
+    scored = c.select("tenant", "delivery_id", T.event_id(F.col("event_id")).alias("event_id"), F.col("received_at").alias("at"), "window_ms", "remember", s.alias("s"))
+    rows = scored.select("tenant", "delivery_id", "event_id", "s.fingerprint", "s.normalized", "at", "window_ms", "remember", "s.score", "s.reasons")
+    return E.decided(rows).select("delivery_id", "duplicate", "decision", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+def input_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Which requests have something to check, and which deliveries."""
+    q = table(spark, d, "score_requests")
+    none = F.lit(None).cast("string")
+    return q.select("request_id", R.has_input(F.col("text"), none, F.col("fields"), none).alias("has_input"))
+
+
+def tenant_blocklists(spark: SparkSession, d: str) -> DataFrame:
+    """Tenants' lists after an update that gives every tenth one a list and all others a common one."""
+    stored = table(spark, d, "spam_opts").select("tenant", F.col("blocklist").alias("phrases")).where("phrases is not null")
+    update = spark.createDataFrame([("", [" common phrase ", ""])], "tenant string, phrases array<string>")
+    tenants = table(spark, d, "tenants").select("tenant", F.array(F.lit("own")).alias("blocklist"))
+    return U.with_blocklists(tenants, U.put_blocklists(stored, update)).select("tenant", F.array_join("phrases", "|", "-").alias("phrases"))
+
+
 def event_idempotency(spark: SparkSession, d: str) -> DataFrame:
     """The id half alone: sights of an id (here user and type) within six hours of the first one are duplicates."""
     e = table(spark, d, "events")
@@ -141,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fnv_fingerprint, spam_normalized, url_hosts, spam_score, spam_decisions, given_scores, form_fields, form_fingerprint, clean_lines, clean_forms, usage_daily, usage_history, quota_cutoff,
-        rate_limit, log_ring, effective_plans, burst_runs, event_replay, event_idempotency,
+        rate_limit, log_ring, effective_plans, burst_runs, event_decisions, input_presence, tenant_blocklists, event_replay, event_idempotency,
     )
 }
 
@@ -198,6 +224,8 @@ ORACLES = {
       SELECT delivery_id, {Q.trim('substring(l, 1, cut - 1)')} AS name, length({Q.trim('substring(l, cut + 1)')})::INTEGER AS length FROM s WHERE cut IS NOT NULL""",
     "form_fingerprint": f"SELECT request_id, {Q.fnv1a32('c')} AS fingerprint FROM (SELECT request_id, {_CANON} AS c FROM score_requests WHERE fields IS NOT NULL)",
     "clean_forms": _FORMS,
+    "input_presence": "SELECT request_id, coalesce(text <> '', false) OR fields IS NOT NULL AS has_input FROM score_requests",
+    "tenant_blocklists": "SELECT t.tenant, array_to_string(list_concat(['own'], list_transform(coalesce(o.blocklist, ['common phrase']), lambda x: coalesce(x, '-'))), '|') AS phrases FROM tenants t LEFT JOIN spam_opts o USING (tenant)",
     "usage_daily": "SELECT tenant, received_at::DATE AS day, count(*) AS calls FROM check_requests WHERE received_at IS NOT NULL GROUP BY 1, 2",
     "usage_history": "WITH u AS (SELECT received_at::DATE AS day, count(*) AS calls FROM check_requests WHERE received_at IS NOT NULL GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT max(day) FROM u) - INTERVAL 6 DAY, (SELECT max(day) FROM u), INTERVAL 1 DAY))::DATE AS day) SELECT s.day, coalesce(calls, 0) AS calls FROM s LEFT JOIN u USING (day)",
     "quota_cutoff": "SELECT tenant, count(*) AS calls, sum(CASE WHEN daily_limit IS NULL OR rn <= floor(daily_limit / 100) THEN 1 ELSE 0 END)::BIGINT AS admitted FROM (SELECT tenant, daily_limit, row_number() OVER (PARTITION BY tenant, received_at::DATE ORDER BY received_at, delivery_id) AS rn FROM check_requests LEFT JOIN tenants USING (tenant)) GROUP BY 1",

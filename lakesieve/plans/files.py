@@ -10,6 +10,7 @@ from lakesieve.functions import text as T
 from lakesieve.functions.jsonx import rendered
 from lakesieve.operators import folder as P
 from lakesieve.operators import media as M
+from lakesieve.operators import mediarun as V
 from lakesieve.operators.project import process_project
 from lakesieve.plans import sqltext as Q
 from lakesieve.session import spread, table
@@ -56,6 +57,29 @@ def cross_file_lines(spark: SparkSession, d: str) -> DataFrame:
     return P.cross_file_lines(one).groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.when(~F.col("kept"), 1).otherwise(0)).cast("long").alias("removed"))
 
 
+def media_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of documents taken as media, with an extension by their id: kind, type, and whether they are left out."""
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".jpg", ".PNG", ".mov", ".txt", "", ".3gp"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    p = table(spark, d, "documents").where("path is not null").select("doc_id", F.concat("path", ext).alias("path"))
+    return p.select("doc_id", V.media_kind(F.col("path")).alias("kind"), V.mime_type(F.col("path")).alias("mime"), V.media_ignored(F.col("path")).alias("ignored"))
+
+
+def media_run(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as images with variants, deduplicated by the whole gate and score."""
+    null = lambda kind: F.lit(None).cast(kind)
+    items = _media(spark, d).select(
+        "path", F.lit("image").alias("kind"), null("string").alias("exact_hash"), "dhash", F.col("dhash").alias("ahash"), *(null("long").alias(h) for h in ("block_hash", "detail_hash", "color_hash")),
+        null("array<bigint>").alias("frame_hashes"), F.lit(8).alias("width"), F.lit(8).alias("height"), "bytes", null("array<double>").alias("hue"), null("double").alias("luma"), null("double").alias("saturation"),
+        null("array<struct<dhash:bigint,color_hash:bigint,detail_hash:bigint,hue:array<double>,luma:double,contrast:double>>").alias("frames"), null("double").alias("duration"),
+    )
+    return V.dedupe_media(items).groupBy("component").agg(F.count("*").alias("members"), F.max(F.when(F.col("kept"), F.col("path"))).alias("kept")).select("members", "kept")
+
+
+def first_lines_format(spark: SparkSession, d: str) -> DataFrame:
+    """The format that the first lines of documents show."""
+    return _files(spark, d).where("content is not null").select("doc_id", X.legacy_format(F.col("content")).alias("format"))
+
+
 def folder_project(spark: SparkSession, d: str) -> DataFrame:
     """A whole folder run on the documents: what became of every file."""
     files, _ = process_project(table(spark, d, "documents"), "safe", content="text")
@@ -129,7 +153,7 @@ def dimension_gate(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w")).alias("resized"), M.dimension_gate(F.col("w"), F.col("h"), F.col("h"), F.col("w"), False).alias("same_size"))
 
 
-QUERIES = {f.__name__: f for f in (folder_project, folder_project_stats, json_rendered, format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, within_file_lines, code_without_blocks, media_pairs, media_clusters, canonical_media, media_target, hue_similarity, dimension_gate)}
+QUERIES = {f.__name__: f for f in (media_paths, media_run, first_lines_format, folder_project, folder_project_stats, json_rendered, format_sniff, language_detect, path_skip, exact_file_dups, folder_summary, cross_file_lines, code_block_dups, within_file_lines, code_without_blocks, media_pairs, media_clusters, canonical_media, media_target, hue_similarity, dimension_gate)}
 
 
 def _isin(expr: str, values) -> str:
@@ -205,6 +229,10 @@ ORACLES = {
       l AS (SELECT path, u.i AS i, {Q.raw_line('u.l')} AS line FROM d, unnest(string_split({Q.eol('text')}, chr(10))) WITH ORDINALITY AS u(l, i) WHERE text IS NOT NULL),
       k AS (SELECT path, line, row_number() OVER (PARTITION BY line ORDER BY {_LOCALE.format(p='path')}, i) AS rn FROM l)
       SELECT path, count(*) AS lines, count(*) FILTER (WHERE line <> '' AND rn > 1) AS removed FROM k GROUP BY path""",
+    "media_paths": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'video' WHEN 5 THEN 'video' END AS kind,
+      CASE doc_id % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'video/quicktime' WHEN 5 THEN 'video/3gpp' ELSE 'application/octet-stream' END AS mime,
+      len(list_filter(string_split(lower(replace(path, chr(92), '/')), '/'), lambda p: p IN ('thumb', 'thumbs', 'thumbnails', '.thumbnails', 'preview', 'previews', 'cache', '.ds_store', '__macosx'))) > 0 AS ignored FROM documents WHERE path IS NOT NULL""",
+    "media_run": f"{_CLUSTERS} SELECT count(*) AS members, arg_min(path, (-bytes, lpad(string_split(replace(path, 'm/', ''), '_')[1], 24, '0'), path)) AS kept FROM c JOIN m USING (item) GROUP BY component",
     "media_pairs": f"WITH {_MEDIA} SELECT a, b, distance FROM p",
     "media_clusters": f"{_CLUSTERS} SELECT item, component FROM c",
     "canonical_media": f"{_CLUSTERS} SELECT component, arg_min(item, (-bytes, path)) AS kept, count(*) AS members FROM c JOIN m USING (item) GROUP BY component",

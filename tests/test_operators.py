@@ -226,7 +226,7 @@ def test_folder_project(spark):
     scope = FolderScope(keep_file=r"dedupe:\s*keep(?!-)")
     files, _ = process_project(spark.createDataFrame(kept, "path string, content string, format string"), scope, fmt="format")
     left = {r.path: r.content for r in files.collect()}
-    assert left == {"a.txt": "one\ntwo # dedupe: keep-line\nthree", "b.txt": "three\nfour", "c.txt": "# dedupe: keep\none\none"}
+    assert left == {"a.txt": "one\n\ntwo # dedupe: keep-line\nthree", "b.txt": "three\nfour", "c.txt": "# dedupe: keep\none\none"}
     empty, none = process_project(spark.createDataFrame([], "path string, content string"), "aggressive")
     assert empty.count() == 0 and none.first().files == 0
 
