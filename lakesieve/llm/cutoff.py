@@ -225,17 +225,17 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = pieces(clean(text).rstrip().rsplit("\n", 1)[-1], "prose" if kind in ("prose", "heading") else kind)
                 tail = last[-1] if last else None
             near, at_all = (signed(digest(tail[: 1 << (len(tail).bit_length() - 1)])), signed(digest(tail))) if tail else (None, None)
-            rows.append((i, source, len(text), len(whole.encode()), kind, state, key, signed(digest(value)), len(value), prefixes, near, at_all))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 12
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-        names = ["doc_id", "source", "chars", "bytes", "kind", "state", "key", "value", "length", "prefixes", "near", "tail"]
+            rows.append((i, source, len(text), len(whole.encode()), kind, state, key, signed(digest(value)), len(value), prefixes, near, at_all, len(tail or "")))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 13
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32())
+        names = ["doc_id", "source", "chars", "bytes", "kind", "state", "key", "value", "length", "prefixes", "near", "tail", "tail_length"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def facts(docs: DataFrame) -> DataFrame:
     """What is known of every document that is not blank, materialised."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text", "source", F.lower(F.trim("format")).alias("format"))
-    schema = "doc_id long, source string, chars int, bytes int, kind string, state string, key string, value long, length int, prefixes array<long>, near long, tail long"
+    schema = "doc_id long, source string, chars int, bytes int, kind string, state string, key string, value long, length int, prefixes array<long>, near long, tail long, tail_length int"
     return materialize(narrow.mapInArrow(_facts, schema), "facts")
 
 
@@ -319,12 +319,14 @@ def longer_sentences(docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     near, whole = _screen(known, "near"), _screen(known, "tail")
     step = re.compile(_GOES_ON_PY)
+    # The lengths that occur, at most as many as the longest line has characters, by the power of two below them.
+    lengths = sorted(r[0] for r in known.where("tail_length > 0").select("tail_length").distinct().collect())
+    spans = [(1 << k, [m for m in lengths if m.bit_length() - 1 == k]) for k in sorted({m.bit_length() - 1 for m in lengths})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         near_bits, all_bits = memoryview(near), memoryview(whole)
         mask = SCREEN_BITS - 1
-        has = lambda bits, h: bits[(h & mask) >> 3] >> (h & 7) & 1
         going: Counter = Counter()
         equal: Counter = Counter()
 
@@ -343,18 +345,22 @@ def longer_sentences(docs: DataFrame, known: DataFrame) -> DataFrame:
                 t = clean(text)
                 parts = pieces(t.rstrip(), kind_of(t, declared))
                 for i, u in enumerate(parts):
-                    n, p = len(u), 1
+                    n = len(u)
                     if i < len(parts) - 1:  # the last one may be cut itself
                         h = digest(u)
-                        if has(all_bits, h):
+                        if all_bits[(h & mask) >> 3] >> (h & 7) & 1:
                             equal[h] += 1
-                    while p < n:
-                        if has(near_bits, digest(u[:p])):
-                            for m in range(p, min(2 * p, n)):
+                    for p, lengths in spans:
+                        if p >= n:
+                            break
+                        h = digest(u[:p])
+                        if near_bits[(h & mask) >> 3] >> (h & 7) & 1:
+                            for m in lengths:
+                                if m >= n:
+                                    break
                                 h = digest(u[:m])
-                                if has(all_bits, h) and step.match(u, m):
+                                if all_bits[(h & mask) >> 3] >> (h & 7) & 1 and step.match(u, m):
                                     going[h] += 1
-                        p *= 2
                 if len(going) + len(equal) > MOST_KEYS:
                     yield flush()
         yield flush()
