@@ -3,12 +3,14 @@
 import random
 from math import ceil
 
+import numpy as np
 import pytest
 
 from lakesieve.llm import history
 from lakesieve.llm.history import BEFORE, HashForest, replay, widest_depth
 from lakesieve.llm.neardup import link_counts, similar_pairs
 from lakesieve.llm.signatures import SizeClasses, words_of
+from lakesieve.sources.sorted_files import SortedFiles
 
 
 def jaccard(a, b):
@@ -172,3 +174,24 @@ def test_hot_history_is_searched_in_full(spark, monkeypatch):
         rows.append((i, "t", 1 if i < 50 else 2 + i % 3, None, " ".join(w)))
     df = spark.createDataFrame(rows, "request_id long, tenant string, batch_no int, fingerprint string, normalized string")
     assert {r[0] for r in replay(df, None).collect()} == brute_force(rows, [])
+
+
+def test_store_of_many_partitions(spark, tmp_path):
+    """Work per batch must not grow with files times entries: an entry is in one file, and a footer is read once."""
+    rows, _ = results(spark, 4)
+    rows = [(*r[:2], None if r[2] == 1 else r[2], *r[3:]) for r in rows] + [(1000 + i, *rows[7][1:]) for i in range(30)]
+    df = spark.createDataFrame(rows, "request_id long, tenant string, batch_no int, fingerprint string, normalized string").repartition(12)
+    forest = HashForest(spark, str(tmp_path / "forest"))
+    run = forest.add(history._rows(df, None))
+    files = SortedFiles(f"{run}/texts")
+    spans = sorted(s for name in files.names for s in files.ranges(name))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert files.count() == history._rows(df, None).select("c").distinct().count()
+    assert {r[0] for r in replay(df, None).collect()} == brute_force([(*r[:2], r[2] or 0, *r[3:]) for r in rows], [])
+
+
+def test_sharing_searches_the_longer_side():
+    long = np.sort(np.random.default_rng(1).integers(0, 500, 4000))
+    short = np.sort(np.random.default_rng(2).integers(0, 900, 60))
+    assert history._sharing(long, short).tolist() == np.flatnonzero(np.isin(long, short)).tolist()
+    assert not len(history._sharing(long, short[:0]))
