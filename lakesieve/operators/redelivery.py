@@ -1,8 +1,8 @@
 """Messages delivered more than once: exactly one delivery of each message stays (problem 3).
 
-Method. The log stores the kept delivery of every message by the day of its arrival, sorted by the hash of its
-identifier, and for every day a Bloom filter of about two bytes an identifier, cut into ranges of hashes and sized
-by the day's count. A batch is reduced to the first delivery of each of its messages; a task takes ranges of hashes
+Method. The log stores the kept delivery of every message by range of the hash of its identifier, and in it by day of
+arrival, and for every day a Bloom filter of about two bytes an identifier, cut into the same ranges and sized by the
+day's count. A range has folders of its own, so a task opens the files of its ranges only. A batch is reduced to the first delivery of each of its messages; a task takes ranges of hashes
 and probes the days' filters: an identifier that no filter has is definitely new. Only the others, possible repeats,
 are compared exactly, with the row groups of just those days whose filter has them. Nothing stored is shuffled.
 
@@ -27,6 +27,8 @@ BLANKS = "[\\s\\u000B\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\
 #: Ranges of hashes that days' filters are cut into; bits of a filter per identifier; bits that one sets in a block.
 RANGES, BITS_EACH, HASHES = 64, 16, 7
 _BLOCK_BITS = 512
+#: Folders that the ranges are stored in, by twos: as many as Spark lists without a job of its own.
+FOLDERS = 32
 #: Bytes of a row group of the stored identifiers.
 ROW_GROUP = 1 << 20
 _KEPT = "h long, key string, at long, delivery_id long, instead_of long, day int, part int"
@@ -61,6 +63,14 @@ def _part(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - RANGES.bit_length() + 1).cast("int")
 
 
+def _folder(part: int) -> int:
+    return part * FOLDERS // RANGES
+
+
+def _folder_of(part: Column) -> Column:
+    return F.floor(part * FOLDERS / RANGES).cast("int")
+
+
 def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """(block, bits): the block of every hash and its bits there, [hashes, HASHES]."""
     with np.errstate(over="ignore"):
@@ -114,24 +124,27 @@ def _probed(runs: list[str]):
             at, ids = table.column(2).to_pylist(), table.column(3).to_pylist()
             best: dict[int, tuple[int, int]] = {}
             for path in runs:
-                for filters in SortedFiles(f"{path}/filters").read(np.array([part]), ["part", "day", "bits"]):
+                some: dict[int, np.ndarray] = {}  # by day
+                for filters in SortedFiles(f"{path}/filters/folder={_folder(part)}").read(np.array([part]), ["part", "day", "bits"]):
                     for row in filters.to_pylist():
-                        if row["part"] != part:
-                            continue
-                        hit = np.flatnonzero(may_hold(row["bits"], h))
-                        if not len(hit):
-                            continue
-                        by = hit[np.argsort(h[hit], kind="stable")]
-                        wanted = h[by]
-                        for stored in SortedFiles(f"{path}/ids/day={row['day']}").read(wanted, ["h", "key", "at", "delivery_id"]):
-                            sh = stored.column(0).to_numpy()
-                            for j in np.flatnonzero(np.isin(sh, wanted)).tolist():
-                                first, last = np.searchsorted(wanted, sh[j], side="left"), np.searchsorted(wanted, sh[j], side="right")
-                                key = stored.column(1)[j].as_py()
-                                for i in by[first:last].tolist():
-                                    if keys[i] == key:
-                                        old = (stored.column(2)[j].as_py(), stored.column(3)[j].as_py())
-                                        best[i] = min(best.get(i, old), old)
+                        if row["part"] == part:
+                            hit = np.flatnonzero(may_hold(row["bits"], h))
+                            if len(hit):
+                                some[row["day"]] = hit
+                if not some:
+                    continue
+                hit = np.unique(np.concatenate(list(some.values())))
+                by = hit[np.argsort(h[hit], kind="stable")]
+                wanted, days = h[by], np.array(sorted(some))
+                for stored in SortedFiles(f"{path}/ids/folder={_folder(part)}").read(days, ["day", "h", "key", "at", "delivery_id"]):
+                    sh = stored.column(1).to_numpy()
+                    rows = np.flatnonzero(np.isin(sh, wanted))
+                    first, last = np.searchsorted(wanted, sh[rows], side="left").tolist(), np.searchsorted(wanted, sh[rows], side="right").tolist()
+                    for row, a, b in zip(stored.select([2, 3, 4]).take(pa.array(rows)).to_pylist(), first, last, strict=True):
+                        for i in by[a:b].tolist():
+                            if keys[i] == row["key"]:
+                                old = (row["at"], row["delivery_id"])
+                                best[i] = min(best.get(i, old), old)
             kept = np.array([i not in best or (at[i], ids[i]) < best[i] for i in range(len(ids))], dtype=bool)
             instead = pa.array([best[i][1] if i in best else None for i in range(len(ids))], pa.int64())
             rows = pa.table([*(table.column(i) for i in range(4)), instead, table.column(5), table.column(6)], ["h", "key", "at", "delivery_id", "instead_of", "day", "part"])
@@ -151,8 +164,8 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class DeliveryLog:
     """Stored identifiers by day with Bloom filters, for batches that arrive one after another.
 
-    ``path`` gets one folder a batch: ``ids`` (by day, sorted by hash: the deliveries that were kept, with the stored
-    ones they displaced) and ``filters``.
+    ``path`` gets one folder a batch: ``ids`` (by folder of ranges, sorted by day and hash: the deliveries that were
+    kept, with the stored ones they displaced) and ``filters`` (by folder, sorted by range).
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = 16) -> None:
@@ -164,10 +177,12 @@ class DeliveryLog:
     def _store(self, kept: DataFrame) -> str:
         self._made += 1
         run = f"{self.path}/run-{self._made}"
-        kept.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("day").parquet(f"{run}/ids")
+        placed = kept.select("day", "h", "key", "at", "delivery_id", "instead_of", "part", _folder_of(F.col("part")).alias("folder")).sortWithinPartitions("folder", "day", "h")
+        placed.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("folder").parquet(f"{run}/ids")
         stored = self.spark.read.schema(_KEPT).parquet(f"{run}/ids")
-        spread = stored.select("part", "day", "h").repartition("part").sortWithinPartitions("part", "day")
-        spread.mapInArrow(_filtered, "part int, day int, ids long, bits binary").write.parquet(f"{run}/filters")
+        spread = stored.select("part", "day", "h").repartition(_folder_of(F.col("part"))).sortWithinPartitions("part", "day")
+        filters = spread.mapInArrow(_filtered, "part int, day int, ids long, bits binary").withColumn("folder", _folder_of(F.col("part")))
+        filters.write.partitionBy("folder").parquet(f"{run}/filters")
         return run
 
     def add(self, batch: DataFrame) -> None:
@@ -175,9 +190,8 @@ class DeliveryLog:
         first = keyed(batch).groupBy("h", "key").agg(F.min(F.struct("at", "delivery_id")).alias("f")).select("h", "key", "f.at", "f.delivery_id")
         day = F.floor(F.col("at") / 86_400_000_000).cast("int")
         placed = first.select("h", "key", "at", "delivery_id", F.lit(None).cast("long").alias("instead_of"), day.alias("day"), _part(F.col("h")).alias("part"))
-        placed = placed.repartition("part").sortWithinPartitions("part")
-        kept = placed.mapInArrow(_probed(list(self.runs)), _KEPT).sortWithinPartitions("day", "h")
-        self.runs.append(self._store(kept))
+        placed = placed.repartition(_folder_of(F.col("part"))).sortWithinPartitions("part")
+        self.runs.append(self._store(placed.mapInArrow(_probed(list(self.runs)), _KEPT)))
         if len(self.runs) > self.most_runs:
             self.merge_runs()
 
@@ -210,7 +224,7 @@ class DeliveryLog:
         ids, old = self._ids(), self.runs
         gone = ids.where("instead_of is not null").select(F.col("instead_of").alias("delivery_id")).distinct()
         left = ids.join(gone, "delivery_id", "left_anti").withColumn("instead_of", F.lit(None).cast("long"))
-        self.runs = [self._store(left.select(*ids.columns).repartition("part").sortWithinPartitions("day", "h"))]
+        self.runs = [self._store(left.select(*ids.columns).repartition(_folder_of(F.col("part"))))]
         for r in old:
             remove_path(self.spark, r)
 
@@ -225,9 +239,11 @@ def repeated_deliveries(deliveries: DataFrame, most_runs: int = 16) -> DataFrame
     spark = deliveries.sparkSession
     log = DeliveryLog(spark, most_runs=most_runs)
     if "batch_no" in deliveries.columns:
-        number = F.coalesce(F.col("batch_no").cast("long"), F.lit(-(1 << 62)))
+        none, stored = -(1 << 62), F.col("batch_no") if dict(deliveries.dtypes)["batch_no"] in ("int", "bigint") else F.col("batch_no").cast("long")
+        number = F.coalesce(stored.cast("long"), F.lit(none))
         for b in sorted(r[0] for r in deliveries.select(number).distinct().collect()):  # as many as there are batches
-            log.add(deliveries.where(number == b))
+            # On the stored column itself, so that row groups of other batches are not read.
+            log.add(deliveries.where(stored.isNull() | (stored == b) if b == none else stored == b))
     else:
         log.add(deliveries)
     ids = deliveries.where("delivery_id is not null").select(F.col("delivery_id").cast("long").alias("delivery_id")).distinct()

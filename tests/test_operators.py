@@ -1,5 +1,6 @@
 """Core operators on small cases: nulls, empty tables, ties, repeated rows, extra columns."""
 
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -145,6 +146,25 @@ def test_delivery_log(spark):
     assert gone == {r[0] for r in repeated_deliveries(deliveries(spark, rows)).collect()}
 
 
+def test_delivery_log_opens_files_of_its_ranges(spark, tmp_path):
+    """Work per batch must not grow with tasks times days: what a range has stored lies in folders of its own."""
+    t = datetime(2024, 1, 1)
+    rng = random.Random(4)
+    rows = [(i, "t", f"e{rng.randint(0, 400)}", "f", t, t + timedelta(hours=rng.randint(0, 900)), "x", 1) for i in range(900)]
+    batch = [rng.choice([None, 1, 2, 3]) for _ in rows]
+    log = DeliveryLog(spark, str(tmp_path / "log"))
+    log.add(deliveries(spark, rows).repartition(8))
+    ids = f"{log.runs[0]}/ids"
+    files = {d: len([f for f in os.listdir(f"{ids}/{d}") if f.endswith(".parquet")]) for d in os.listdir(ids) if "=" in d}
+    assert len(files) > 4 and set(files.values()) == {1}
+    best = {}
+    for r in rows:
+        best[r[2]] = min(best.get(r[2], (r[5], r[0])), (r[5], r[0]))
+    whole = deliveries(spark, rows).join(spark.createDataFrame([(r[0], b) for r, b in zip(rows, batch, strict=True)], "delivery_id long, batch_no int"), "delivery_id")
+    assert {r[0] for r in repeated_deliveries(whole).collect()} == {r[0] for r in rows} - {b[1] for b in best.values()}
+    assert {r[0] for r in repeated_deliveries(whole, most_runs=2).collect()} == {r[0] for r in rows} - {b[1] for b in best.values()}
+
+
 def test_event_memory(spark):
     m = TenantMemory()
     assert m.check("a", "f1", "one two three", 0, 120_000) is None
